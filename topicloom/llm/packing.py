@@ -7,9 +7,11 @@ opens a bin; if that makes one bin too many, the fullest open bin closes.
 
 from __future__ import annotations
 
+import base64
 import re
 import zlib
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -21,9 +23,9 @@ END_ID = 2
 #: Open bins a task keeps. Their number, not the input's size, bounds the packer's memory.
 MAX_OPEN = 1024
 #: Entries after which a worker's chunk cache starts anew; a bound on memory that changes no result.
-CACHE_ENTRIES = 400_000
-#: White space other than the single spaces and line feeds that the chunk cache understands.
-_ODD = re.compile(r"[\t\r\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
+CACHE_ENTRIES = 1_000_000
+#: White space other than the single spaces and line feeds that the chunk cache understands, and scripts beyond Latin.
+_ODD = re.compile(r"[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u0250-\U0010ffff]")
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -32,8 +34,9 @@ class Encoder:
     """Token ids of whole texts as little-endian unsigned 32-bit bytes.
 
     The vocabulary's pre-tokeniser never joins a token across a space that stands between two non-space characters,
-    so a text is cut there and each chunk's ids are looked up; texts with other white space or a special token's
-    string are encoded whole.
+    so a text is cut there and each chunk's ids are looked up. New chunks are encoded together, by the same
+    vocabulary in its rank form where that lies beside it; texts with other white space, scripts that the two
+    libraries' Unicode tables might see differently, or a special token's string are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -42,27 +45,57 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.cache: dict[str, bytes] = {}
+        self.ranked = None
+        ranks_path = Path(path).with_suffix(".tiktoken")
+        if ranks_path.exists():
+            import public_tokenizers
+            import tiktoken
+
+            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, ranks_path.read_bytes().splitlines())}
+            self.ranked = tiktoken.Encoding("ranked", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+            self.spaced = np.zeros(max(ranks.values()) + 1, bool)
+            self.spaced[[rank for token, rank in ranks.items() if token[:1] == b" "]] = True
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def chunks(self, chunks: list[str]) -> dict[str, bytes]:
+        """Ids of each chunk; one that begins with its only space can be encoded in one text with others like it."""
+        joined = [c for c in chunks if c[:1] == " "] if self.ranked else []
+        rest = list(set(chunks).difference(joined))
+        found = dict(zip(rest, self.whole(rest), strict=True))
+        if joined:
+            ids = self.ranked.encode_to_numpy("".join(joined), allowed_special=set(), disallowed_special=()).astype("<u4")
+            ends = np.append(np.flatnonzero(self.spaced[ids]), len(ids))[1:]
+            raw, begin = ids.tobytes(), 0
+            for chunk, end in zip(joined, (4 * ends).tolist(), strict=True):
+                found[chunk] = raw[begin:end]
+                begin = end
+        return found
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        plain, chunks = [], []
-        for text in texts:
-            odd = "  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " " or any(s in text for s in self.specials) or _ODD.search(text)
-            plain.append(not odd)
-            if odd:
-                chunks.append([text])
-            else:
-                head, *rest = text.split(" ")
-                chunks.append([head, *[" " + c for c in rest]] if rest else [head])
         cache = self.cache
         if len(cache) > CACHE_ENTRIES:
             cache.clear()
-        new = list({c for p, cs in zip(plain, chunks, strict=True) if p for c in cs if c not in cache})
-        cache.update(zip(new, self.whole(new), strict=True))
-        odd_ids = iter(self.whole([cs[0] for p, cs in zip(plain, chunks, strict=True) if not p]))
-        return [b"".join([cache[c] for c in cs]) if p else next(odd_ids) for p, cs in zip(plain, chunks, strict=True)]
+        chunked: list[list[str]] = []
+        ids: list[list[bytes | None] | None] = []
+        new: set[str] = set()
+        for text in texts:
+            odd = "  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " " or "\0" in text or any(s in text for s in self.specials) or _ODD.search(text)
+            chunked.append([] if odd else text.replace(" ", "\0 ").split("\0"))
+            ids.append(None if odd else list(map(cache.get, chunked[-1])))
+            if not odd and None in ids[-1]:
+                new.update([c for c, found in zip(chunked[-1], ids[-1], strict=True) if found is None])
+        fresh = self.chunks(list(new))
+        cache.update(fresh)
+        odd_ids = iter(self.whole([t for t, known in zip(texts, ids, strict=True) if known is None]))
+        out = []
+        for cs, known in zip(chunked, ids, strict=True):
+            if known is None:
+                out.append(next(odd_ids))
+            else:
+                out.append(b"".join([fresh[c] if k is None else k for c, k in zip(cs, known, strict=True)] if None in known else known))
+        return out
 
 
 _encoders: dict[str, Encoder] = {}
