@@ -17,6 +17,12 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from topicloom.llm.html_extract import main_text
+
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from topicloom.llm.simhash import near_groups
 
@@ -30,7 +36,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op7_simhash_near_dedup, op8_toxicity, op9_best_fit_packing)}
+    return {f.__name__: f for f in (op4_html_extraction, op7_simhash_near_dedup, op8_toxicity, op9_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
