@@ -24,8 +24,8 @@ _WORD = re.compile(r"[^\W\d_]+")
 class Settings:
     """Bounds of the training sample and the model's size."""
 
-    toxic_rows: int = 4000  # labelled rows used at most, the first in the order of a hash of their id
-    clean_rows: int = 8000
+    toxic_rows: int = 3000  # labelled rows used at most, the first in the order of a hash of their id
+    clean_rows: int = 5000
     folds: int = 5  # rows whose crc32 of the id leaves 0 are held out
     buckets: int = 1 << 22  # of hashed terms
     stems: tuple[int, ...] = (4, 5)  # letters of a word's beginning that count as terms too
@@ -69,24 +69,29 @@ def _margins(n: int, at: np.ndarray, idx: np.ndarray, bias: float, linear: np.nd
     return bias + np.bincount(at, linear[idx], n) + 0.5 * ((sums**2).sum(1) - squares), sums
 
 
-def fit(docs: list[set[int]], toxic: np.ndarray, settings: Settings = Settings()) -> Machine:
-    """Adam on the logistic loss of a machine over the terms that tell the classes apart."""
-    n, pos = len(docs), int(toxic.sum())
+def fit(values: np.ndarray, sizes: np.ndarray, toxic: np.ndarray, settings: Settings = Settings()) -> Machine:
+    """Adam on the logistic loss of a machine over the terms that tell the classes apart.
+
+    ``values`` holds the distinct terms of one text after another, ``sizes`` how many each text has.
+    """
+    n, pos = len(sizes), int(toxic.sum())
     prior = pos / (n + 1)
     empty = Machine({}, math.log(max(prior, 1e-6) / (1 - prior)), np.zeros(0), np.zeros((0, settings.factors)))
     if not pos or pos == n:
         return empty
-    at = np.repeat(np.arange(n), [len(d) for d in docs])
-    term, col = np.unique(np.fromiter((t for d in docs for t in sorted(d)), np.int64, len(at)), return_inverse=True)
-    a = np.bincount(col, toxic[at], len(term))
-    b = np.bincount(col, minlength=len(term)) - a
-    kept = np.argsort(-_evidence(a, b, pos, n - pos), kind="stable")[: settings.max_terms]
-    kept = kept[_evidence(a[kept], b[kept], pos, n - pos) >= settings.evidence]
+    at = np.repeat(np.arange(n, dtype=np.int32), sizes)
+    held = np.bincount(values, minlength=settings.buckets)
+    a = np.bincount(values[toxic[at] > 0], minlength=settings.buckets)
+    term = np.flatnonzero(held)
+    evidence = _evidence(a[term], held[term] - a[term], pos, n - pos)
+    kept = np.argsort(-evidence, kind="stable")[: settings.max_terms]
+    kept = term[kept[evidence[kept] >= settings.evidence]]
     if not len(kept):
         return empty
-    row = np.full(len(term), -1)
+    row = np.full(settings.buckets, -1, np.int32)
     row[kept] = np.arange(len(kept))
-    idx, at = row[col][row[col] >= 0], at[row[col] >= 0]
+    idx = row[values]
+    idx, at = idx[idx >= 0], at[idx >= 0]
     rng = np.random.default_rng(0)
     params = [np.array([empty.bias]), np.zeros(len(kept)), rng.normal(0, 0.05, (len(kept), settings.factors))]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
@@ -100,7 +105,7 @@ def fit(docs: list[set[int]], toxic: np.ndarray, settings: Settings = Settings()
             first[k] = 0.9 * first[k] + 0.1 * g
             second[k] = 0.999 * second[k] + 0.001 * g * g
             params[k] = params[k] - settings.rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-10)
-    return Machine({int(term[t]): k for k, t in enumerate(kept)}, float(params[0][0]), params[1], params[2])
+    return Machine({int(t): k for k, t in enumerate(kept)}, float(params[0][0]), params[1], params[2])
 
 
 def _evidence(a: np.ndarray, b: np.ndarray, pos: int, neg: int) -> np.ndarray:
@@ -111,8 +116,8 @@ def _evidence(a: np.ndarray, b: np.ndarray, pos: int, neg: int) -> np.ndarray:
     return 2 * sum(np.where(np.isfinite(p), p, 0) for p in parts)
 
 
-def sample(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> tuple[list[set[int]], np.ndarray]:
-    """Term sets and labels of the bounded training sample: no more rows of each class than the settings name.
+def sample(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Terms, numbers of terms and labels of the bounded training sample: no more rows of each class than the settings name.
 
     Labels that disagree on one id count as toxic; null labels and ids are left out.
     """
@@ -130,7 +135,8 @@ def sample(docs: DataFrame, labels: DataFrame, settings: Settings = Settings())
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id")
     texts = texts.groupBy("doc_id", "toxic").agg(F.max("text").alias("text"))  # repeated rows train once
     got = texts.mapInArrow(run, "doc_id long, toxic int, terms array<int>").toArrow().sort_by("doc_id")
-    return [set(t) for t in got.column("terms").to_pylist()], np.array(got.column("toxic").to_pylist(), float)
+    lists = got.column("terms").combine_chunks()
+    return lists.flatten().to_numpy(), lists.value_lengths().to_numpy(), got.column("toxic").to_numpy().astype(float)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> DataFrame:
