@@ -17,6 +17,12 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from topicloom.llm.licences import licence_scan
+
+    return licence_scan(table(spark, sf_dir, "documents"))
+
+
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     from topicloom.llm.html_extract import main_text
 
@@ -36,7 +42,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_html_extraction, op7_simhash_near_dedup, op8_toxicity, op9_best_fit_packing)}
+    return {f.__name__: f for f in (op1_license_scan, op4_html_extraction, op7_simhash_near_dedup, op8_toxicity, op9_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
