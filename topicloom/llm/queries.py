@@ -29,6 +29,12 @@ def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text(table(spark, sf_dir, "pages"))
 
 
+def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from topicloom.llm.decontaminate import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from topicloom.llm.simhash import near_groups
 
@@ -42,7 +48,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op4_html_extraction, op7_simhash_near_dedup, op8_toxicity, op9_best_fit_packing)}
+    return {f.__name__: f for f in (op1_license_scan, op4_html_extraction, op5_benchmark_decontamination, op7_simhash_near_dedup, op8_toxicity, op9_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
