@@ -41,6 +41,12 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from topicloom.llm.katz import katz_scores
+
+    return katz_scores(table(spark, sf_dir, "documents"))
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from topicloom.llm.simhash import near_groups
 
@@ -54,7 +60,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op3_suffix_array_dedup, op4_html_extraction, op5_benchmark_decontamination, op7_simhash_near_dedup, op8_toxicity, op9_best_fit_packing)}
+    return {f.__name__: f for f in (op1_license_scan, op3_suffix_array_dedup, op4_html_extraction, op5_benchmark_decontamination, op6_lm_scoring, op7_simhash_near_dedup, op8_toxicity, op9_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
