@@ -65,8 +65,14 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from topicloom.llm.quotes import linked_conversations
+
+    return linked_conversations(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_embedding_near_dedup, op3_suffix_array_dedup, op4_html_extraction, op5_benchmark_decontamination, op6_lm_scoring, op7_simhash_near_dedup, op8_toxicity, op9_best_fit_packing)}
+    return {f.__name__: f for f in (op1_license_scan, op2_embedding_near_dedup, op3_suffix_array_dedup, op4_html_extraction, op5_benchmark_decontamination, op6_lm_scoring, op7_simhash_near_dedup, op8_toxicity, op9_best_fit_packing, op10_quotation_linking)}
 
 
 def oracle_sql() -> dict[str, str]:
