@@ -185,28 +185,24 @@ def _anchor_rows(docs: DataFrame, settings: Settings) -> DataFrame:
 def _contexts(docs: DataFrame, wanted: DataFrame, settings: Settings) -> DataFrame:
     """The bytes of the wanted contexts, whole for anchors that are sorted and in overlapping blocks for the others.
 
-    step 1: a context; else the windows [lo, hi) of a block, relative to the anchor, the core that all of the block
-    hold, and their bytes.
+    step 1: a context; else the windows [lo, hi) of a block, relative to the anchor, and their bytes.
     """
-    schema = "anchor long, step int, core binary, " + _PLACE + ", lo int, hi int, once int, raw binary"
+    schema = "anchor long, step int, " + _PLACE + ", lo int, hi int, once int, raw binary"
     arrow = _by_numpy(schema)
     length = settings.length
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh3_128_digest
-
         for batch in batches:
             rows: list[tuple] = []
             for doc_id, digest, text, places in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "digest", "raw", "places")), strict=True):
                 for p in places:
                     at, before, after = p["pos"], p["before"], p["after"]
                     if p["distinct"] <= settings.sorted_contexts:
-                        rows.append((p["anchor"], 1, b"", doc_id, digest, at, -before, after, int(p["n"] == 1), text[at - before : at + after]))
+                        rows.append((p["anchor"], 1, doc_id, digest, at, -before, after, int(p["n"] == 1), text[at - before : at + after]))
                         continue
                     for lo in range(-before // settings.block * settings.block, after - length + 1, settings.block):
                         a, b = max(lo, -before), min(lo + settings.block, after - length + 1)
-                        core = xxh3_128_digest(text[at + lo + settings.block - 1 : at + lo + length])
-                        rows.append((p["anchor"], lo, core, doc_id, digest, at, a, b, 1, text[at + a : at + b - 1 + length]))
+                        rows.append((p["anchor"], lo, doc_id, digest, at, a, b, int(p["n"] == 1), text[at + a : at + b - 1 + length]))
                     if len(rows) > 20_000:
                         yield _batch(rows, arrow)
                         rows = []
@@ -253,21 +249,36 @@ def _sorted_repeats(rows: DataFrame, settings: Settings, tasks: int) -> DataFram
     return dealt.mapInArrow(run, schema)
 
 
-def _hashed_repeats(blocks: DataFrame, settings: Settings) -> DataFrame:
-    """Repeats of the contexts of anchors with too many of them: blocks that share their core, then equal blocks, then
-    equal windows. Every step is a count that combines before it shuffles and a join on its key."""
-    key = ["anchor", "step", "core"]
-    live = blocks.join(blocks.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1").drop("_n"), key)
-    live = stored(live.withColumn("whole", F.sha2(F.concat(F.col("lo").cast("string").cast("binary"), F.lit(b":"), F.col("raw")), 256)), "blocks")
-    key = ["anchor", "step", "whole"]
-    kinds = stored(live.groupBy(key).agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "digest", "pos", "lo", "hi", "raw")).alias("one")), "kinds")
-    alike = live.join(kinds.where("n > 1").select(key), key).select("doc_id", "digest", (F.col("pos") + F.col("lo")).alias("start"), (F.col("pos") + F.col("hi") - 1 + settings.length).alias("stop"))
-    windows = kinds.select("anchor", "n", "one.*").withColumn("at", F.explode(F.sequence("lo", F.col("hi") - 1)))
-    windows = windows.select("anchor", "n", "doc_id", "digest", "pos", "at", F.sha2(F.substring("raw", F.col("at") - F.col("lo") + 1, F.lit(settings.length)), 256).alias("window"))
-    key = ["anchor", "at", "window"]
-    twice = windows.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    found = windows.where("n = 1").join(twice, key).select("doc_id", "digest", (F.col("pos") + F.col("at")).alias("start"), (F.col("pos") + F.col("at") + settings.length).alias("stop"))
-    return alike.unionByName(found)
+def _held_twice(rows: DataFrame, key: list[str], label: str) -> DataFrame:
+    """The rows whose key another row has too. The counts are written first, so that the join sees two plain sides and
+    Spark can split a key that many rows have."""
+    twice = stored(rows.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1").drop("_n"), label)
+    return rows.join(twice, key)
+
+
+def _hashed_repeats(blocks: DataFrame, settings: Settings) -> list[DataFrame]:
+    """Repeats of the contexts of anchors with too many of them, by hashes of blocks of windows.
+
+    Blocks whose core, the bytes that all their windows hold, is held once are done with; equal blocks are repeats as
+    they stand; one of each kind is cut into smaller blocks, down to single windows.
+    """
+    rows, size, out = blocks.select("anchor", "doc_id", "digest", "pos", "lo", "hi", "once", "raw"), settings.block, []
+    while True:
+        step = (F.floor(F.col("lo") / size) * size).cast("int")
+        rows = rows.withColumn("step", step).withColumn("core", F.sha2(F.substring("raw", F.col("step") + size - F.col("lo"), F.lit(settings.length - size + 1)), 256))
+        live = stored(_held_twice(rows, ["anchor", "step", "core"], "cores").drop("core").withColumn("whole", F.sha2(F.concat(F.col("lo").cast("string").cast("binary"), F.lit(b":"), F.col("raw")), 256)), "blocks")
+        span = [(F.col("pos") + F.col("lo")).alias("start"), (F.col("pos") + F.col("hi") - 1 + settings.length).alias("stop")]
+        if size == 1:  # a core is a window now
+            out.append(live.where("once = 1").select("doc_id", "digest", *span))
+            return out
+        key = ["anchor", "step", "whole"]
+        kinds = stored(live.groupBy(key).agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "digest", "pos", "lo", "hi", "once", "raw")).alias("one")), "kinds")
+        out.append(live.where("once = 1").join(kinds.where("n > 1").select(key), key).select("doc_id", "digest", *span))
+        size = max(1, size // 4)
+        cut = kinds.select("anchor", "n", "one.*").withColumn("at", F.explode(F.sequence(F.floor(F.col("lo") / size) * size, F.col("hi") - 1, F.lit(size).cast("long"))))
+        cut = cut.withColumn("first", F.greatest("at", "lo").cast("int")).withColumn("end", F.least(F.col("at") + size, "hi").cast("int"))
+        raw = F.substring("raw", F.col("first") - F.col("lo") + 1, F.col("end") - F.col("first") - 1 + settings.length)
+        rows = cut.select("anchor", "doc_id", "digest", "pos", F.col("first").alias("lo"), F.col("end").alias("hi"), F.when(F.col("n") > 1, 0).otherwise(F.col("once")).alias("once"), raw.alias("raw"))
 
 
 def repeats(keyed: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -275,21 +286,20 @@ def repeats(keyed: DataFrame, settings: Settings = Settings()) -> DataFrame:
     spark = keyed.sparkSession
     tasks = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
     every = stored(_anchor_rows(keyed, settings), "anchors")
-    held = every.groupBy("anchor").agg(F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    shared = stored(every.join(held, "anchor"), "shared")
+    shared = stored(_held_twice(every, ["anchor"], "twice"), "shared")
     dropped(every)
     classes = stored(shared.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "digest", "pos", "before", "after")).alias("one")), "classes")
     released(spark)
     copied = shared.join(classes.where("n > 1").select("anchor", "context"), ["anchor", "context"])
     parts = [copied.select("doc_id", "digest", (F.col("pos") - F.col("before")).alias("start"), (F.col("pos") + F.col("after")).alias("stop"))]
-    several = classes.groupBy("anchor").agg(F.count("*").alias("distinct")).where(F.col("distinct") > 1)
+    several = stored(classes.groupBy("anchor").agg(F.count("*").alias("distinct")).where(F.col("distinct") > 1), "several")
     wanted = classes.join(several, "anchor").select("anchor", "one.*", "n", "distinct")
     rows = stored(_contexts(keyed, wanted, settings), "contexts")
     released(spark)
     parts.append(_sorted_repeats(rows.where("step = 1"), settings, tasks))
     blocks = rows.where("step <= 0")
     if not blocks.isEmpty():
-        parts.append(_hashed_repeats(blocks, settings))
+        parts += _hashed_repeats(blocks, settings)
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
