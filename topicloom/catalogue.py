@@ -1,15 +1,487 @@
-"""Registry of the engine's own queries and their DuckDB oracles."""
+"""Registry of the engine's own queries over the driver's tables, and their DuckDB oracles.
+
+Notes are ``documents`` (title: first line, folder: source, cluster: the source's number), chunk vectors ``embeddings``
+(five a note), the folder tree ``region`` > ``nation`` > ``customer``.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from topicloom import oracle as sql
+from topicloom.functions import text, vectors
+from topicloom.operators import apply as applying
+from topicloom.operators import cache, clustering, labels, results, tfidf, tree
+from topicloom.operators.tree import FolderFilter
+from topicloom.plans import topics
+from topicloom.sources import notes as sources
+
+Query = Callable[[SparkSession, str], DataFrame]
+_queries: dict[str, Query] = {}
+_oracles: dict[str, str] = {}
+
+
+def query(oracle: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _queries[f.__name__] = f
+        if oracle:
+            _oracles[f.__name__] = oracle
+        return f
+
+    return add
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_oracles)
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sources.notes(_table(spark, sf_dir, "documents"))
+
+
+def _clustered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _notes(spark, sf_dir).select("note_id", "note_idx", F.substring("parent_id", 4, 10).cast("int").alias("cluster_id"))
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "embeddings").select("vec_id", "label", vectors.widened(F.col("embedding")).alias("v"))
+
+
+def _r(c: Column) -> Column:
+    return F.round(c, 6) + 0.0
+
+
+def _flat(df: DataFrame, key: str, vector: str) -> DataFrame:
+    return df.select(key, F.posexplode(vector).alias("dim", "x")).select(key, F.col("dim").cast("long").alias("dim"), _r(F.col("x")).alias("x"))
+
+
+# ---- sources and folders
+
+_US = FolderFilter("include", ("r1", "n7", "gone"))
+
+
+@query(f"SELECT note_id, title, parent_id FROM ({sql.NOTES}) WHERE parent_id IN ('src1', 'src3')")
+def notes_in_folders(spark, sf_dir):
+    n = _notes(spark, sf_dir)
+    folders = n.select(F.col("parent_id").alias("folder_id"), F.col("parent_id").alias("title"), F.lit("").alias("parent_id")).distinct()
+    return tree.notes_in(n, folders, FolderFilter("include", ("src1", "src3", "gone"))).select("note_id", "title", "parent_id")
+
+
+@query("SELECT DISTINCT CAST(doc_id AS VARCHAR) AS note_id FROM documents")
+def all_note_ids(spark, sf_dir):
+    return sources.note_ids(_table(spark, sf_dir, "documents"))
+
+
+@query(f"SELECT parent_id, string_agg(folder_id, ',' ORDER BY folder_id) AS children FROM ({sql.FOLDERS}) GROUP BY 1")
+def folder_children(spark, sf_dir):
+    return tree.children_map(sources.folders(spark, sf_dir)).select("parent_id", F.array_join("children", ",").alias("children"))
+
+
+@query(sql.below("'r1', 'n3'") + "SELECT folder_id FROM d")
+def folder_descendants(spark, sf_dir):
+    return tree.descendants(sources.folders(spark, sf_dir), spark.createDataFrame([("r1",), ("n3",)], "folder_id string"))
+
+
+@query(sql.below("'r1', 'n7'") + "SELECT folder_id FROM d")
+def folder_filter_include(spark, sf_dir):
+    return tree.effective_folders(sources.folders(spark, sf_dir), _US)
+
+
+@query(sql.below("'r1', 'n7'") + "SELECT folder_id FROM f WHERE folder_id NOT IN (SELECT folder_id FROM d)")
+def folder_filter_exclude(spark, sf_dir):
+    return tree.effective_folders(sources.folders(spark, sf_dir), FolderFilter("exclude", ("r1", "n7", "gone")))
+
+
+@query(sql.below("'r1', 'n7'") + "SELECT folder_id FROM d WHERE folder_id NOT IN ('r1', 'n7')")
+def folder_implicit(spark, sf_dir):
+    return tree.implicit_folders(sources.folders(spark, sf_dir), _US)
+
+
+@query(sql.COUNTS)
+def folder_note_counts(spark, sf_dir):
+    return tree.note_counts(_table(spark, sf_dir, "orders").select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("parent_id")))
+
+
+@query(f"WITH f AS ({sql.FOLDERS}), n AS ({sql.COUNTS}) SELECT f.folder_id, title, f.parent_id, coalesce(note_count, 0) AS note_count, f.parent_id NOT IN (SELECT folder_id FROM f) AS is_root FROM f LEFT JOIN n ON n.parent_id = f.folder_id")
+def folder_tree_roots(spark, sf_dir):
+    return tree.folder_tree(sources.folders(spark, sf_dir), folder_note_counts(spark, sf_dir))
+
+
+@query(f"WITH RECURSIVE f AS ({sql.FOLDERS}), d AS (SELECT folder_id, parent_id FROM f WHERE contains(lower(title), '000001') UNION SELECT f.folder_id, f.parent_id FROM f JOIN d ON f.folder_id = d.parent_id) SELECT folder_id FROM d")
+def folder_visible(spark, sf_dir):
+    return tree.visible_folders(sources.folders(spark, sf_dir), " 000001 ")
+
+
+@query(sql.below("'r1', 'n7'") + f"SELECT CAST(coalesce(sum(note_count), 0) AS BIGINT) AS n_notes FROM ({sql.COUNTS}) n JOIN d ON d.folder_id = n.parent_id")
+def estimated_notes(spark, sf_dir):
+    return tree.estimated_notes(sources.folders(spark, sf_dir), folder_note_counts(spark, sf_dir), _US)
+
+
+@query("SELECT CAST(1 AS BIGINT) AS n_stale, CAST(2 AS BIGINT) AS n_valid")
+def stale_folders(spark, sf_dir):
+    f = sources.folders(spark, sf_dir)
+    return spark.createDataFrame([(tree.stale_count(f, _US), tree.valid_count(f, _US))], "n_stale long, n_valid long")
+
+
+# ---- text
+
+@query(f"SELECT note_id, {sql.GENERIC} AS is_generic, body = '' AND {sql.GENERIC} AS is_skipped FROM ({sql.NOTES})")
+def generic_title_flag(spark, sf_dir):
+    return _notes(spark, sf_dir).select("note_id", text.is_generic_title(F.col("title")).alias("is_generic"), text.is_skipped(F.col("title"), F.col("body")).alias("is_skipped"))
+
+
+@query(f"SELECT page_id, {sql.clean('html')} AS cleaned FROM pages")
+def text_clean(spark, sf_dir):
+    return _table(spark, sf_dir, "pages").select("page_id", text.clean_text(F.col("html")).alias("cleaned"))
+
+
+@query(f"SELECT item_id, array_to_string(regexp_extract_all(regexp_replace(lower({sql.clean('text')}), '[''’]', '', 'g'), '[a-z]+'), ' ') AS tokens FROM benchmark")
+def raw_tokens(spark, sf_dir):
+    return _table(spark, sf_dir, "benchmark").select("item_id", F.array_join(text.raw_tokens(F.col("text")), " ").alias("tokens"))
+
+
+@query(f"SELECT note_id, array_to_string({sql.tokens('body')}, ' ') AS tokens FROM ({sql.NOTES})")
+def singular_tokens(spark, sf_dir):
+    return _notes(spark, sf_dir).select("note_id", F.array_join(text.tokenize(F.col("body")), " ").alias("tokens"))
+
+
+@query(f"WITH {sql.GRAMS} SELECT note_id, in_title, string_agg(ngram, '|' ORDER BY seg_no, i, n) AS ngrams FROM grams GROUP BY 1, 2")
+def segment_ngrams(spark, sf_dir):
+    grams = tfidf.corpus_ngrams(_notes(spark, sf_dir))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("pos", "ngram"))), lambda s: s["ngram"])
+    return grams.groupBy("note_id", "in_title").agg(F.array_join(ordered, "|").alias("ngrams"))
+
+
+@query(f"SELECT note_id, sha256(title || chr(10) || chr(10) || body) AS hash FROM ({sql.NOTES})")
+def content_hash(spark, sf_dir):
+    return _notes(spark, sf_dir).select("note_id", text.content_hash(F.col("title"), F.col("body")).alias("hash"))
+
+
+@query(f"SELECT note_id, {sql.title_case('title')} AS cased FROM ({sql.NOTES})")
+def title_case(spark, sf_dir):
+    return _notes(spark, sf_dir).select("note_id", text.title_case(F.col("title")).alias("cased"))
+
+
+@query(rf"""SELECT note_id, keyword, regexp_matches(lower(title), '(?:^|[^\p{{L}}\p{{N}}])' || keyword || '(?:$|[^\p{{L}}\p{{N}}])') OR regexp_matches(lower(body), '(?:^|[^\p{{L}}\p{{N}}])' || keyword || '(?:$|[^\p{{L}}\p{{N}}])') AS hit
+    FROM ({sql.NOTES}), (SELECT unnest(['the', 'license', 'la', 'mit license', 'thon']) AS keyword)""")
+def keyword_match(spark, sf_dir):
+    keywords = F.explode(F.array(*[F.lit(k) for k in ("the", "license", "la", "mit license", "thon")]))
+    return _notes(spark, sf_dir).select("note_id", "title", "body", keywords.alias("keyword")).select("note_id", "keyword", text.matches_keyword(F.col("title"), F.col("body"), F.col("keyword")).alias("hit"))
+
+
+_CLEANED = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(raw), '^[\"''`]+|[\"''`]+$', '', 'g'), '^#{1,6}\s*', ''), '(?i)^(?:title|cluster(?:\s+name)?|name|category|group|topic)\s*:\s*', ''), '\.+$', ''))"
+
+
+@query(rf"SELECT note_id, CASE WHEN len(regexp_split_to_array(c, '\s+')) > 5 THEN array_to_string(list_slice(regexp_split_to_array(c, '\s+'), 1, 5), ' ') ELSE c END AS name FROM (SELECT note_id, {_CLEANED} AS c FROM (SELECT note_id, '## Title: ' || title AS raw FROM ({sql.NOTES})))")
+def sanitized_names(spark, sf_dir):
+    return _notes(spark, sf_dir).select("note_id", text.sanitize_name(F.concat(F.lit("## Title: "), "title")).alias("name"))
+
+
+@query()
+def token_chunks(spark, sf_dir):
+    return _notes(spark, sf_dir).select("note_id", F.posexplode(text.token_chunks(F.col("body"))).alias("chunk_index", "chunk"))
+
+
+# ---- vectors
+
+@query(f"SELECT vec_id, dim, round(x / sqrt(sum(x * x) OVER (PARTITION BY vec_id)), 6) + 0.0 AS x FROM ({sql.FLAT})")
+def vec_normalize(spark, sf_dir):
+    return _flat(_vectors(spark, sf_dir).select("vec_id", vectors.normalise(F.col("v")).alias("v")), "vec_id", "v")
+
+
+@query(sql.pooled("1.0"))
+def vec_mean_pool(spark, sf_dir):
+    return _flat(vectors.mean_pool(sources.chunks(_table(spark, sf_dir, "embeddings")), "note_id"), "note_id", "vector")
+
+
+@query(sql.pooled("exp(-0.15 * chunk_index) + CASE WHEN chunk_index = 0 THEN 0.5 ELSE 0.0 END"))
+def vec_decay_pool(spark, sf_dir):
+    return _flat(vectors.decay_pool(sources.chunks(_table(spark, sf_dir, "embeddings")), "note_id"), "note_id", "vector")
+
+
+@query(sql.pooled("CASE WHEN chunk_index = 0 THEN 3.0 ELSE 1.0 END"))
+def vec_title_chunk_pool(spark, sf_dir):
+    return _flat(vectors.title_chunk_pool(sources.chunks(_table(spark, sf_dir, "embeddings")), "note_id"), "note_id", "vector")
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = _vectors(spark, sf_dir).select("vec_id", "v")
+    return v.join(v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("v").alias("w")), "vec_id")
+
+
+_PAIRS = f"SELECT a.vec_id, a.v, b.v AS w FROM ({sql.VECTORS}) a JOIN ({sql.VECTORS}) b ON b.vec_id = a.vec_id + 1"
+
+
+@query(f"""SELECT vec_id, round(list_dot_product(v, w), 6) + 0.0 AS cosine, round(1 - list_dot_product(v, w) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(w, w))), 6) + 0.0 AS cosine_distance,
+    round(list_distance(v, w), 6) + 0.0 AS euclidean, round(greatest(0.0, least(1.0, list_dot_product(v, w))) * 0.3, 6) + 0.0 AS title_weight FROM ({_PAIRS})""")
+def vec_distances(spark, sf_dir):
+    a, b = F.col("v"), F.col("w")
+    cos = vectors.cosine_similarity(a, b)
+    return _pairs(spark, sf_dir).select("vec_id", _r(cos).alias("cosine"), _r(vectors.distance("cosine")(a, b)).alias("cosine_distance"), _r(vectors.distance("euclidean")(a, b)).alias("euclidean"), _r(vectors.title_weight(cos)).alias("title_weight"))
+
+
+@query(f"""WITH p AS (SELECT vec_id, v, w, greatest(0.0, least(1.0, list_dot_product(v, w))) * 0.3 AS t FROM ({_PAIRS})),
+    f AS (SELECT vec_id, unnest(range(len(v))) AS dim, (1 - t) * unnest(v) + t * unnest(w) AS x FROM p)
+    SELECT vec_id, dim, round(x / sqrt(sum(x * x) OVER (PARTITION BY vec_id)), 6) + 0.0 AS x FROM f""")
+def vec_blend(spark, sf_dir):
+    p = _pairs(spark, sf_dir)
+    weight = vectors.title_weight(vectors.cosine_similarity(F.col("v"), F.col("w")))
+    return _flat(p.withColumn("t", weight).select("vec_id", vectors.blend(F.col("v"), F.col("w"), F.col("t")).alias("v")), "vec_id", "v")
+
+
+@query("SELECT vec_id, len(embedding) > 0 AND list_aggregate(list_transform(embedding, lambda a: isfinite(a)), 'bool_and') AS is_valid, len(embedding) = 384 AS is_native FROM embeddings")
+def vec_valid(spark, sf_dir):
+    return _table(spark, sf_dir, "embeddings").select("vec_id", vectors.is_valid(F.col("embedding")).alias("is_valid"), vectors.is_valid(F.col("embedding"), 384).alias("is_native"))
+
+
+# ---- cache
+
+def _cached(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = _notes(spark, sf_dir).where("note_idx % 3 <> 0")
+    hashed = F.when(F.col("note_idx") % 2 == 0, text.content_hash(F.col("title"), F.col("body"))).otherwise("stale")
+    model = F.when(F.col("note_idx") % 5 == 0, F.lit(None)).when(F.col("note_idx") % 5 == 1, "other").otherwise(cache.MODEL)
+    vector = F.array_repeat(F.when(F.col("note_idx") % 7 == 0, F.lit(float("nan"))).otherwise(0.5), 4)
+    return n.select("note_id", hashed.alias("hash"), model.alias("model_id"), vector.alias("vector"), F.col("note_idx").alias("version"))
+
+
+@query(f"SELECT note_id, CASE WHEN body = '' AND {sql.GENERIC} THEN 'skipped' WHEN note_idx % 3 <> 0 AND note_idx % 2 = 0 AND note_idx % 5 <> 1 AND note_idx % 7 <> 0 THEN 'hit' ELSE 'miss' END AS status FROM ({sql.NOTES})")
+def cache_hits(spark, sf_dir):
+    return cache.split(_notes(spark, sf_dir), _cached(spark, sf_dir), 4).select("note_id", "status")
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS note_id FROM documents WHERE doc_id % 3 <> 0 AND doc_id NOT IN (SELECT doc_id FROM labels)")
+def cache_obsolete(spark, sf_dir):
+    return cache.obsolete(_cached(spark, sf_dir), sources.note_ids(_table(spark, sf_dir, "labels"))).select("note_id")
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS note_id, CASE WHEN doc_id % 4 = 0 THEN doc_id + 1000000 ELSE doc_id END AS version FROM documents WHERE doc_id % 3 <> 0 OR doc_id % 4 = 0")
+def cache_upsert(spark, sf_dir):
+    new = _notes(spark, sf_dir).where("note_idx % 4 = 0").select("note_id", F.lit("x").alias("hash"), F.lit(cache.MODEL).alias("model_id"), F.array(F.lit(0.5)).alias("vector"), (F.col("note_idx") + 1000000).alias("version"))
+    return cache.upserted(_cached(spark, sf_dir), new).select("note_id", "version")
+
+
+# ---- clustering
+
+@query("""SELECT c_custkey AS n, CAST(greatest(5, least(15, floor(sqrt(c_custkey)))) AS INTEGER) AS neighbours, CAST(greatest(5, least(50, floor(sqrt(c_custkey)))) AS INTEGER) AS min_cluster_size,
+    CAST(greatest(2, floor(greatest(5, least(50, floor(sqrt(c_custkey)))) / 2)) AS INTEGER) AS min_samples FROM customer""")
+def adaptive_params(spark, sf_dir):
+    n = F.col("c_custkey")
+    a, b, c = clustering.adaptive_columns(n)
+    return _table(spark, sf_dir, "customer").select(n.alias("n"), a.alias("neighbours"), b.alias("min_cluster_size"), c.alias("min_samples"))
+
+
+@query("""SELECT c_custkey AS n, CASE WHEN c_custkey < 2 THEN 1 WHEN c_custkey < 20 THEN 2 ELSE 3 END AS min_k, CAST(CASE WHEN c_custkey < 2 THEN 1 WHEN c_custkey < 20 THEN greatest(2, c_custkey // 2)
+    ELSE least(200, greatest(3, ceil(1.5 * sqrt(c_custkey) + greatest(0.0, (c_custkey - 1000) / 75)))) END AS INTEGER) AS max_k FROM customer""")
+def k_range(spark, sf_dir):
+    n = F.col("c_custkey")
+    low, high = clustering.k_range_columns(n)
+    return _table(spark, sf_dir, "customer").select(n.alias("n"), low.alias("min_k"), high.alias("max_k"))
+
+
+@query(f"""WITH c AS (SELECT CAST(vec_id AS INTEGER) AS cluster_id, v AS centre FROM ({sql.VECTORS}) WHERE vec_id < 8)
+    SELECT vec_id, arg_min(cluster_id, {{'d': list_distance(v, centre), 'c': cluster_id}}) AS cluster_id FROM ({sql.VECTORS}) e, c GROUP BY 1""")
+def kmeans_assign_step(spark, sf_dir):
+    points = _vectors(spark, sf_dir)
+    centres = points.where("vec_id < 8").select(F.col("vec_id").cast("int").alias("cluster_id"), F.col("v").alias("centre"))
+    return clustering.assign_step(points.select("vec_id", "v"), centres, vector="v").select("vec_id", "cluster_id")
+
+
+@query(f"SELECT label AS cluster_id, dim, round(avg(x), 6) + 0.0 AS x FROM ({sql.FLAT}) GROUP BY 1, 2")
+def kmeans_update_step(spark, sf_dir):
+    return _flat(clustering.update_step(_vectors(spark, sf_dir).withColumnRenamed("label", "cluster_id"), "v"), "cluster_id", "centre")
+
+
+@query(f"""WITH m AS (SELECT a.vec_id, a.label AS la, b.label AS lb, avg(list_distance(a.v, b.v)) AS d FROM ({sql.VECTORS}) a JOIN ({sql.VECTORS}) b ON a.vec_id <> b.vec_id GROUP BY 1, 2, 3),
+    e AS (SELECT vec_id, coalesce(max(CASE WHEN la = lb THEN d END), 0.0) AS own, min(CASE WHEN la <> lb THEN d END) AS other FROM m GROUP BY 1)
+    SELECT count(*) AS n, round(avg(CASE WHEN greatest(own, other) = 0 THEN 0 ELSE (other - own) / greatest(own, other) END), 6) + 0.0 AS silhouette FROM e""")
+def silhouette_exact(spark, sf_dir):
+    points = _vectors(spark, sf_dir).select(F.col("vec_id").alias("note_id"), F.col("label").alias("cluster_id"), "v")
+    return clustering.exact_silhouette(points, vector="v", sampled=None).select("n", _r(F.col("silhouette")).alias("silhouette"))
+
+
+@query("SELECT CAST(i AS INTEGER) AS cluster_id, count(label) AS size FROM (SELECT unnest(range((SELECT max(label) FROM embeddings) + 1)) AS i) LEFT JOIN embeddings ON label = i AND vec_id % 3 <> 0 GROUP BY 1")
+def cluster_sizes(spark, sf_dir):
+    label = F.when(F.col("vec_id") % 3 == 0, -1).otherwise(F.col("label"))
+    return clustering.cluster_sizes(_vectors(spark, sf_dir).select(label.alias("cluster_id")))
+
+
+@query("WITH s AS (SELECT n_nationkey + 2 AS k, ((n_nationkey * 7) % 25) / 500.0 AS score FROM nation) SELECT max(k) AS k, arg_max(score, k) AS score FROM s WHERE score >= (SELECT max(score) FROM s) - 0.01")
+def k_select_tolerance(spark, sf_dir):
+    return clustering.pick_k(_table(spark, sf_dir, "nation").select((F.col("n_nationkey") + 2).alias("k"), (F.col("n_nationkey") * 7 % 25 / 500.0).alias("score")))
+
+
+def _labelled(spark: SparkSession, sf_dir: str, fit) -> DataFrame:
+    """(note_id, cluster_id) of the whole table of pooled notes."""
+    pooled = sources.pooled(sources.chunks(_table(spark, sf_dir, "embeddings")), 64)
+    found = fit(topics.matrix(pooled)).tolist()
+    ids = [r["note_id"] for r in pooled.select("note_id").orderBy("note_id").collect()]
+    return spark.createDataFrame(list(zip(ids, map(int, found), strict=True)), "note_id long, cluster_id int")
+
+
+@query()
+def kmeans_auto(spark, sf_dir):
+    return _labelled(spark, sf_dir, lambda x: clustering.sweep_k(spark, x)[2])
+
+
+@query()
+def hdbscan(spark, sf_dir):
+    return _labelled(spark, sf_dir, lambda x: clustering.hdbscan(x, clustering.min_cluster_size_for(len(x)), metric="cosine"))
+
+
+@query()
+def umap_project(spark, sf_dir):
+    pooled = sources.pooled(sources.chunks(_table(spark, sf_dir, "embeddings")), 64)
+    y = clustering.umap(topics.matrix(pooled), 5, clustering.neighbours_for(pooled.count()))
+    return spark.createDataFrame([(k, row) for k, row in enumerate(y.tolist())], "note_no long, point array<double>")
+
+
+# ---- labels
+
+@query(f"WITH {sql.GRAMS}, {sql.IDF} SELECT ngram, df, round(idf, 6) + 0.0 AS idf FROM idf")
+def corpus_idf(spark, sf_dir):
+    n = _notes(spark, sf_dir)
+    return tfidf.idf(tfidf.corpus_ngrams(n), n.count()).select("ngram", "df", _r(F.col("idf")).alias("idf"))
+
+
+@query(sql.labelled() + "SELECT cluster_id, ngram, tf, n_docs, in_title FROM tf")
+def cluster_tf(spark, sf_dir):
+    return tfidf.cluster_counts(tfidf.corpus_ngrams(_notes(spark, sf_dir)), _clustered(spark, sf_dir)).select("cluster_id", "ngram", "tf", "n_docs", "in_title")
+
+
+@query(sql.labelled() + f"SELECT cluster_id, ngram, tf, CAST(tf_rank AS INTEGER) AS tf_rank FROM totals WHERE tf_rank <= {tfidf.KEPT}")
+def cluster_top100(spark, sf_dir):
+    counts = tfidf.cluster_counts(tfidf.corpus_ngrams(_notes(spark, sf_dir)), _clustered(spark, sf_dir))
+    return tfidf.most_frequent(counts).select("cluster_id", "ngram", "tf", "tf_rank")
+
+
+def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tfidf.scores(_notes(spark, sf_dir), _clustered(spark, sf_dir))
+
+
+@query(sql.labelled() + "SELECT cluster_id, ngram, round(score, 9) + 0.0 AS score, CAST(rank AS INTEGER) AS rank FROM scores")
+def cluster_ngram_scores(spark, sf_dir):
+    return _scores(spark, sf_dir).select("cluster_id", "ngram", (F.round("score", 9) + 0.0).alias("score"), "rank")
+
+
+@query(sql.labelled(sql.DEMOTED) + "SELECT cluster_id, ngram FROM kept")
+def tags_demoted(spark, sf_dir):
+    return labels.without_demoted(_scores(spark, sf_dir)).select("cluster_id", "ngram")
+
+
+@query()
+def tags_greedy(spark, sf_dir):
+    return labels.tags(_scores(spark, sf_dir))
+
+
+@query(sql.labelled(sql.DEMOTED, sql.TAXONOMY) + "SELECT cluster_id, category FROM taxonomy")
+def cluster_taxonomy(spark, sf_dir):
+    return labels.taxonomy(labels.without_demoted(_scores(spark, sf_dir)))
+
+
+@query(sql.labelled(sql.DEMOTED, sql.TAXONOMY, sql.NAMES) + "SELECT cluster_id, name FROM names")
+def cluster_names(spark, sf_dir):
+    return labels.names(_scores(spark, sf_dir), _clustered(spark, sf_dir).select("cluster_id").distinct())
+
+
+@query("SELECT n_nationkey AS cluster_id, r_name || CASE WHEN place > 1 THEN ' ' || place ELSE '' END AS name FROM (SELECT n_nationkey, r_name, row_number() OVER (PARTITION BY r_name ORDER BY n_nationkey) AS place FROM nation JOIN region ON r_regionkey = n_regionkey)")
+def name_collisions(spark, sf_dir):
+    named = _table(spark, sf_dir, "nation").join(_table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return labels.numbered_collisions(named.select(F.col("n_nationkey").alias("cluster_id"), F.col("r_name").alias("name")))
+
+
+@query(f"""WITH t AS (SELECT cluster_id, note_idx, regexp_replace(title, '^\\s+|\\s+$', '', 'g') AS title FROM ({sql.NOTES}))
+    SELECT cluster_id, n_notes, coalesce(titles, '') AS titles FROM (SELECT cluster_id, count(*) AS n_notes FROM t GROUP BY 1) LEFT JOIN (SELECT cluster_id, string_agg(title, '|' ORDER BY note_idx) AS titles FROM
+    (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY note_idx) AS place FROM t WHERE length(title) > 2) WHERE place <= 6 GROUP BY 1) USING (cluster_id)""")
+def sample_titles(spark, sf_dir):
+    return labels.sample_titles(_notes(spark, sf_dir), _clustered(spark, sf_dir)).select("cluster_id", "n_notes", F.array_join("titles", "|").alias("titles"))
+
+
+# ---- apply, undo, views
+
+def _state(spark: SparkSession, sf_dir: str) -> applying.State:
+    n = _notes(spark, sf_dir).select("note_id", "title", "body", "parent_id")
+    folders = n.select(F.col("parent_id").alias("folder_id"), F.concat(F.lit("Folder "), "parent_id").alias("title"), F.lit("").alias("parent_id")).distinct()
+    docs = _table(spark, sf_dir, "documents")
+    tags = docs.select(F.col("lang").alias("tag_id"), F.col("lang").alias("title")).distinct()
+    return applying.State(n, folders, tags, docs.select(F.col("doc_id").cast("string").alias("note_id"), F.col("lang").alias("tag_id")).distinct())
+
+
+def _assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _notes(spark, sf_dir).select("note_id", F.when(F.col("note_idx") % 7 == 0, -1).otherwise((F.col("note_idx") % 5).cast("int")).alias("cluster_id"))
+
+
+def _clusters(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(k, f"Topic {k}" if k else "en", ["the", "license", "de"]) for k in range(5)], "cluster_id int, name string, tags array<string>")
+
+
+_ID = "left(sha256('folder' || chr(31) || lower(title) || chr(31)), 32)"
+
+
+@query(f"SELECT note_id, {_ID} AS target FROM (SELECT CAST(doc_id AS VARCHAR) AS note_id, CASE WHEN doc_id % 7 = 0 THEN 'Uncategorized' WHEN doc_id % 5 = 0 THEN 'en' ELSE 'Topic ' || (doc_id % 5) END AS title FROM documents)")
+def apply_moves(spark, sf_dir):
+    return applying.planned_moves(_state(spark, sf_dir), _assigned(spark, sf_dir), _clusters(spark))[0]
+
+
+@query(rf"""WITH n AS (SELECT CAST(doc_id AS VARCHAR) AS note_id, text, CASE WHEN doc_id % 5 = 0 THEN 'en' ELSE 'Topic ' || (doc_id % 5) END AS main FROM documents WHERE doc_id % 7 <> 0)
+    SELECT note_id, main AS title FROM n UNION ALL SELECT note_id, k FROM n, (SELECT unnest(['the', 'license', 'de']) AS k) WHERE regexp_matches(lower(text), '(?:^|[^\p{{L}}\p{{N}}])' || k || '(?:$|[^\p{{L}}\p{{N}}])')""".replace("{{", "{").replace("}}", "}"))
+def apply_tags(spark, sf_dir):
+    return applying.planned_tags(_notes(spark, sf_dir).select("note_id", "title", "body"), _assigned(spark, sf_dir), _clusters(spark))
+
+
+@query(f"WITH f AS ({sql.FOLDERS}) SELECT folder_id FROM f WHERE folder_id NOT IN (SELECT parent_id FROM f) AND folder_id NOT IN (SELECT 'c' || o_custkey FROM orders)")
+def empty_folders(spark, sf_dir):
+    notes = _table(spark, sf_dir, "orders").select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("parent_id"))
+    return applying.empty_folders(sources.folders(spark, sf_dir), notes).select("folder_id")
+
+
+@query("SELECT unnest(['notes', 'folders', 'tags', 'note_tags']) AS what, CAST(0 AS BIGINT) AS differing")
+def undo_roundtrip(spark, sf_dir):
+    before = _state(spark, sf_dir)
+    during, log = applying.apply(before, _assigned(spark, sf_dir), _clusters(spark), "both")
+    after = applying.undo(during, log)
+    out = None
+    for what in ("notes", "folders", "tags", "note_tags"):
+        a, b = getattr(before, what), getattr(after, what)
+        n = a.exceptAll(b.select(*a.columns)).unionByName(b.select(*a.columns).exceptAll(a)).agg(F.count("*").alias("differing")).select(F.lit(what).alias("what"), "differing")
+        out = n if out is None else out.unionByName(n)
+    return out
+
+
+def _view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _assigned(spark, sf_dir).withColumn("note_idx", F.col("note_id").cast("long"))
+
+
+_ASSIGNED = "SELECT CAST(doc_id AS VARCHAR) AS note_id, CASE WHEN doc_id % 7 = 0 THEN -1 ELSE CAST(doc_id % 5 AS INTEGER) END AS cluster_id FROM documents"
+
+
+@query(f"SELECT cluster_id, CASE WHEN cluster_id = 0 THEN 'en' WHEN cluster_id > 0 THEN 'Topic ' || cluster_id END AS name, count(*) AS n_notes FROM ({_ASSIGNED}) GROUP BY 1")
+def strategy_view(spark, sf_dir):
+    return results.strategy_view(_view(spark, sf_dir), _clusters(spark))
+
+
+@query(f"SELECT note_id, CASE WHEN note_id = '3' THEN 1 ELSE cluster_id END AS cluster_id FROM ({_ASSIGNED})")
+def move_note(spark, sf_dir):
+    return results.move_note(_view(spark, sf_dir), 3, 1).select("note_id", "cluster_id")
+
+
+@query("SELECT k AS cluster_id, CASE WHEN k = 2 THEN 'Renamed' WHEN k = 0 THEN 'en' WHEN k = 5 THEN 'Seventh' ELSE 'Topic ' || k END AS name FROM (SELECT unnest([0, 1, 2, 3, 4, 5]) AS k)")
+def rename_cluster(spark, sf_dir):
+    return results.add_cluster(results.rename_cluster(_clusters(spark), 2, "Renamed"), " Seventh ").select("cluster_id", "name")
+
+
+@query()
+def topics_end_to_end(spark, sf_dir):
+    pooled = sources.pooled(sources.chunks(_table(spark, sf_dir, "embeddings")), 64)
+    pooled = pooled.withColumn("note_id", F.col("note_id").cast("string"))
+    return topics.run(_notes(spark, sf_dir), pooled).clusters
