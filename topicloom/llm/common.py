@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -50,8 +51,10 @@ def released(spark: SparkSession) -> None:
     """Let the context cleaner free the shuffle files of finished stages, which it does after a collection on the driver."""
     import gc
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def _filesystem(spark: SparkSession, path: str):

@@ -317,6 +317,7 @@ def _score(spread: DataFrame, words: Words, settings: Settings) -> DataFrame:
     sums: dict[int, np.ndarray] = defaultdict(lambda: np.zeros(cutoff + 3))
     for row in spread.mapInArrow(gather, "history long, what int, value double").groupBy("history", "what").agg(F.sum("value").alias("value")).collect():
         sums[row["history"]][row["what"]] = row["value"]  # at most hot + 2 histories
+    released(spread.sparkSession)  # the second pass deals the bigrams anew rather than keep two copies of them
     discounts = good_turing(sums.pop(-1, np.zeros(cutoff + 3))[: cutoff + 2], cutoff)
     kept_hot = {h: float((np.arange(cutoff + 1) * discounts * s[: cutoff + 1]).sum() + s[cutoff + 1]) for h, s in sums.items()}
     seen_hot = {h: float(s[cutoff + 2]) for h, s in sums.items()}
