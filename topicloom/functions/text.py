@@ -19,6 +19,11 @@ GENERIC_TITLES = (
 )
 
 
+def let(value: Column, then) -> Column:
+    """``then`` of a value that is computed once. A column used inside a lambda is else computed again for each element."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def trim(c: Column) -> Column:
     return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
 
@@ -69,18 +74,20 @@ def tokenize(c: Column, stop: tuple[str, ...] | None = None) -> Column:
 def ngrams(tokens: Column, longest: int = 3) -> Column:
     """At each position the 1-gram, then the 2-gram and so on up to ``longest``, as phrases."""
 
-    def at(i: Column) -> Column:
-        found = [F.when(i + n <= F.size(tokens), F.array_join(F.slice(tokens, i + 1, n), " ")) for n in range(1, longest + 1)]
-        return F.filter(F.array(*found), lambda g: g.isNotNull())
+    def of(t: Column) -> Column:
+        def at(_: Column, i: Column) -> Column:
+            found = [F.when(i + n <= F.size(t), F.array_join(F.slice(t, i + 1, n), " ")) for n in range(1, longest + 1)]
+            return F.filter(F.array(*found), lambda g: g.isNotNull())
+
+        return F.flatten(F.transform(t, at))
 
-    places = F.when(F.size(tokens) > 0, F.sequence(F.lit(0), F.size(tokens) - 1)).otherwise(F.array().cast("array<int>"))
-    return F.flatten(F.transform(places, at))
+    return let(tokens, of)
 
 
 def has_consecutive_duplicates(phrase: Column) -> Column:
     """Whether a word stands beside itself."""
-    w = F.split(F.lower(phrase), " ")
-    return F.coalesce(F.exists(F.zip_with(w, F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda a, b: a == b), lambda x: x), F.lit(False))
+    beside = lambda w: F.exists(F.zip_with(w, F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda a, b: a == b), lambda x: x)
+    return F.coalesce(let(F.split(F.lower(phrase), " "), beside), F.lit(False))
 
 
 def segments(c: Column) -> Column:
@@ -121,8 +128,7 @@ def sanitize_name(raw: Column) -> Column:
     for pattern in (r"^[\"'`]+|[\"'`]+$", r"^#{1,6}" + SPACE + "*", r"(?i)^(?:title|cluster(?:" + SPACE + r"+name)?|name|category|group|topic)" + SPACE + "*:" + SPACE + "*", r"\.+$"):
         c = F.regexp_replace(c, pattern, "")
     c = trim(c)
-    parts = F.split(c, SPACE + "+")
-    return F.when(F.size(parts) > 5, F.array_join(F.slice(parts, 1, 5), " ")).otherwise(c)
+    return let(c, lambda n: let(F.split(n, SPACE + "+"), lambda parts: F.when(F.size(parts) > 5, F.array_join(F.slice(parts, 1, 5), " ")).otherwise(n)))
 
 
 def parse_names(response: str, ids: list[int]) -> dict[int, str] | None:

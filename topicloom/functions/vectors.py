@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from topicloom.functions.text import let
+
 
 def widened(v: Column) -> Column:
     return v.cast("array<double>")
@@ -27,8 +29,7 @@ def norm(v: Column) -> Column:
 
 def normalise(v: Column) -> Column:
     """Unit length; a zero vector stays as it is."""
-    n = norm(v)
-    return F.when(n == 0, v).otherwise(F.transform(v, lambda x: x / n))
+    return let(v, lambda u: let(norm(u), lambda n: F.when(n == 0, u).otherwise(F.transform(u, lambda x: x / n))))
 
 
 def cosine_similarity(a: Column, b: Column) -> Column:
@@ -55,7 +56,7 @@ def title_weight(similarity: Column, most: float = 0.3) -> Column:
 
 
 def blend(body: Column, title: Column, weight: Column) -> Column:
-    return normalise(F.zip_with(body, title, lambda b, t: (1 - weight) * b + weight * t))
+    return normalise(let(weight, lambda w: F.zip_with(body, title, lambda b, t: (1 - w) * b + w * t)))
 
 
 def is_valid(v: Column, dimension: int | None = None) -> Column:

@@ -37,7 +37,7 @@ def clean_folders(folders: DataFrame) -> DataFrame:
 
 def children_map(folders: DataFrame, order: str = "folder_id") -> DataFrame:
     """(parent_id, children): each parent's children in the order of a column."""
-    ids = F.transform(F.array_sort(F.collect_list(F.struct(order, "folder_id"))), lambda s: s["folder_id"])
+    ids = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("order"), F.col("folder_id").alias("id")))), lambda s: s["id"])
     return clean_folders(folders).groupBy("parent_id").agg(ids.alias("children"))
 
 
