@@ -12,6 +12,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -136,18 +137,25 @@ class Index:
     items: np.ndarray  # passage x latent dimension, unit rows
     uncommon: np.ndarray  # per term
     needed: int  # uncommon words that any confirmed place holds
+    held: np.ndarray  # passage x term: how often the passage holds it
     settings: Settings
 
+    def __post_init__(self):
+        self.least = np.array([self.settings.share * len(p.words) for p in self.block])
+
     def search(self, text: str | None) -> list[tuple[int, float, float, int]]:
         """(item_id, cosine, share, first word) of the best confirmed place of each item in a whole text."""
         s, w = self.settings, words(text)
         if not w:
             return []
-        get = self.vocabulary.get
-        ids = np.fromiter((get(x, -1) for x in w), np.int64, len(w))
+        ids = np.array(list(map(self.vocabulary.get, w, repeat(-1))), np.int64)
         at = np.flatnonzero(ids >= 0)
         if not len(at):
             return []
+        # the words of an item that a text holds at all, in whatever order, bound their common subsequence
+        alive = np.flatnonzero(self.held[:, np.unique(ids[at])].sum(1) >= self.least)
+        if not len(alive):
+            return []
         halves = -(-len(w) // s.half)
         rare = np.bincount(at[self.uncommon[ids[at]]] // s.half, minlength=halves + 3)
         near = rare[: halves + 1] + rare[1 : halves + 2] + rare[2 : halves + 3]  # halves k .. k+2
@@ -158,23 +166,30 @@ class Index:
         wanted = np.zeros(halves + 2, bool)
         wanted[windows] = wanted[windows + 1] = True
         at = at[wanted[at // s.half]]
-        sums = np.zeros((halves + 2, self.folded.shape[1]))
+        sums = np.zeros((halves + 2, self.folded.shape[1]), np.float32)
         half = at // s.half
         starts = np.flatnonzero(np.diff(half, prepend=-1))
         if len(at):
             sums[half[starts]] = np.add.reduceat(self.folded[ids[at]], starts, axis=0)
         vectors = sums[windows] + sums[windows + 1]
         norms = np.linalg.norm(vectors, axis=1, keepdims=True)
-        cosines = (vectors / np.where(norms > 0, norms, 1)) @ self.items.T
+        cosines = (vectors / np.where(norms > 0, norms, 1)) @ self.items[alive].T
         best: dict[int, tuple[float, float, int]] = {}
-        for row, p in zip(*np.nonzero(cosines >= s.cosine), strict=True):
-            passage, first = self.block[p], max(0, (int(windows[row]) - 1) * s.half)
-            place = w[first : (int(windows[row]) + 3) * s.half]
-            n = common_subsequence(passage.words, place)
-            if n < s.share * len(passage.words) or common_subsequence(passage.answer, place) < s.answer_share * len(passage.answer):
-                continue
-            found = (n / len(passage.words), float(cosines[row, p]), -first)
-            best[passage.item_id] = max(best.get(passage.item_id, found), found)
+        near = cosines >= s.cosine
+        for row in np.flatnonzero(near.any(1)).tolist():
+            first = max(0, (int(windows[row]) - 1) * s.half)
+            place = slice(first, (int(windows[row]) + 3) * s.half)
+            terms = np.unique(ids[place])
+            found = np.flatnonzero(near[row])
+            bound = self.held[np.ix_(alive[found], terms[terms >= 0])].sum(1)  # the same of the place alone
+            for k in found[bound >= self.least[alive[found]]].tolist():
+                p = int(alive[k])
+                passage = self.block[p]
+                n = common_subsequence(passage.words, w[place])
+                if n < self.least[p] or common_subsequence(passage.answer, w[place]) < s.answer_share * len(passage.answer):
+                    continue
+                hit = (n / len(passage.words), float(cosines[row, k]), -first)
+                best[passage.item_id] = max(best.get(passage.item_id, hit), hit)
         return [(item, cosine, share, -first) for item, (share, cosine, first) in best.items()]
 
 
@@ -191,7 +206,10 @@ def build(spark: SparkSession, block: list[Passage], docs: DataFrame, settings:
     items /= np.maximum(np.linalg.norm(items, axis=1, keepdims=True), 1e-300)
     uncommon = counts < settings.common * max(n, 1)
     needed = min(sum(bool(uncommon[vocabulary[w]]) for w in p.words) - math.floor((1 - settings.share) * len(p.words)) for p in block)
-    return Index(block, vocabulary, space * idf[:, None], items, uncommon, max(needed, 0), settings)
+    held = np.zeros((len(block), len(vocabulary)), np.int32)
+    for k, p in enumerate(block):
+        np.add.at(held[k], [vocabulary[w] for w in p.words], 1)
+    return Index(block, vocabulary, (space * idf[:, None]).astype(np.float32), items.astype(np.float32), uncommon, max(needed, 0), held, settings)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings()) -> DataFrame:
