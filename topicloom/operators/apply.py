@@ -121,18 +121,18 @@ def apply(state: State, assigned: DataFrame, clusters: DataFrame, method: str =
     made_tags = spark.createDataFrame([], "tag_id string")
     links, moves = none, spark.createDataFrame([], "note_id string, target string")
     if method != "notebooks":
-        plan = planned_tags(state.notes, assigned, clusters)
-        ids = tags_for(state.tags, plan.select("title"))
+        plan = planned_tags(state.notes, assigned, clusters).persist()  # kept: every table of the result asks for them
+        ids = tags_for(state.tags, plan.select("title")).persist()
         wanted = plan.select("note_id", F.lower("title").alias("title_key")).join(ids, "title_key").select("note_id", "tag_id").distinct()
-        new = wanted.join(state.note_tags, ["note_id", "tag_id"], "left_anti")
+        new = wanted.join(state.note_tags, ["note_id", "tag_id"], "left_anti").persist()
         made_tags = ids.where("created").select("tag_id")
         after = replace(after, tags=state.tags.unionByName(ids.where("created").select("tag_id", "title")), note_tags=state.note_tags.unionByName(new))
         links = new.groupBy("note_id").agg(F.array_sort(F.collect_set("tag_id")).alias("_tags"))
     if method != "tags":
-        moves, homes = planned_moves(state, assigned, clusters, parent)
+        moves, homes = (t.persist() for t in planned_moves(state, assigned, clusters, parent))
         created = homes.where("created").dropDuplicates(["folder_id"])
         made_folders = created.select("folder_id")
-        moved = state.notes.join(moves, "note_id", "left").withColumn("parent_id", F.coalesce("target", "parent_id")).drop("target")
+        moved = state.notes.join(moves, "note_id", "left").withColumn("parent_id", F.coalesce("target", "parent_id")).drop("target").persist()
         folders = state.folders.unionByName(created.select("folder_id", "title", "parent_id"))
         left = state.notes.join(moves, "note_id", "left_semi").select(F.col("parent_id").alias("folder_id")).distinct()
         gone = empty_folders(folders, moved).join(left, "folder_id", "left_semi").select("folder_id")
@@ -145,7 +145,7 @@ def apply(state: State, assigned: DataFrame, clusters: DataFrame, method: str =
         "note_id", F.when(is_move, F.col("parent_id")).alias("original_parent_id"), F.when(is_move, F.col("_home_title")).alias("original_parent_title"),
         F.when(is_move, F.col("_home_parent")).alias("original_grandparent_id"), F.coalesce("_tags", F.array().cast("array<string>")).alias("added_tag_ids"),
     )
-    return after, ChangeLog(method, timestamp, log, made_folders, made_tags)
+    return after, ChangeLog(method, timestamp, log.persist(), made_folders, made_tags)
 
 
 def undo(state: State, log: ChangeLog | None) -> State:
@@ -158,7 +158,7 @@ def undo(state: State, log: ChangeLog | None) -> State:
     made = lost.groupBy("original_parent_id").agg(F.min("original_parent_title").alias("title"), F.min("original_grandparent_id").alias("parent_id"))
     known = state.folders.select(F.col("folder_id").alias("_up"))
     made = made.join(known, F.col("parent_id") == F.col("_up"), "left").select(F.col("original_parent_id").alias("folder_id"), F.coalesce("title", F.lit("Restored")).alias("title"), F.when(F.col("_up").isNotNull() | (F.col("parent_id") == ""), F.col("parent_id")).otherwise(F.lit("")).alias("parent_id"))
-    notes = state.notes.join(back.select("note_id", "original_parent_id"), "note_id", "left").withColumn("parent_id", F.coalesce("original_parent_id", "parent_id")).drop("original_parent_id")
+    notes = state.notes.join(back.select("note_id", "original_parent_id"), "note_id", "left").withColumn("parent_id", F.coalesce("original_parent_id", "parent_id")).drop("original_parent_id").persist()
     folders = state.folders.unionByName(made)
     gone = empty_folders(folders, notes).join(log.created_folders, "folder_id", "left_semi").select("folder_id")
     added = log.notes.select("note_id", F.explode("added_tag_ids").alias("tag_id"))
