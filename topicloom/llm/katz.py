@@ -29,7 +29,7 @@ class Settings:
     cutoff: int = 5  # largest count that is discounted
     block_tokens: int = 1_000_000
     hot: int = 1024  # most frequent histories, whose bigrams are spread over all buckets
-    blocks_per_bucket: int = 8
+    blocks_per_bucket: int = 1
 
 
 END = b" "  # no word holds a space
