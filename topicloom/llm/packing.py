@@ -23,7 +23,9 @@ END_ID = 2
 #: Open bins a task keeps. Their number, not the input's size, bounds the packer's memory.
 MAX_OPEN = 1024
 #: Entries after which a worker's chunk cache starts anew; a bound on memory that changes no result.
-CACHE_ENTRIES = 1_000_000
+CACHE_ENTRIES = 300_000
+#: Texts that are cut into chunks at once.
+ENCODED_TEXTS = 256
 #: White space other than the single spaces and line feeds that the chunk cache understands, and scripts beyond Latin.
 _ODD = re.compile(r"[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u0250-\U0010ffff]")
 
@@ -120,7 +122,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(tokenizer)
-        for batch in batches:
+        for batch in (b.slice(k, ENCODED_TEXTS) for b in batches for k in range(0, b.num_rows, ENCODED_TEXTS)):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             rows: list[tuple] = []
             for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode(texts), strict=True):

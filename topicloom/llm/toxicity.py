@@ -54,6 +54,11 @@ class Machine:
     linear: np.ndarray
     factors: np.ndarray
 
+    def of_texts(self, texts: list[str | None], settings: Settings) -> np.ndarray:
+        """Scores of texts, a few of which at a time are held as terms."""
+        parts = [self.scores([terms(t, settings) for t in texts[k : k + 256]]) for k in range(0, len(texts), 256)]
+        return np.concatenate(parts) if parts else np.empty(0)
+
     def scores(self, docs: list[set[int]]) -> np.ndarray:
         known = self.index
         active = [sorted(map(known.__getitem__, known.keys() & d)) for d in docs]
@@ -150,7 +155,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            score = machine.scores([terms(t, settings) for t in batch.column(1).to_pylist()])
+            score = machine.of_texts(batch.column(1).to_pylist(), settings)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"]
             )
@@ -167,6 +172,6 @@ def without_toxic(docs: DataFrame, labels: DataFrame, settings: Settings = Setti
     def rejected(text):
         import pandas as pd
 
-        return pd.Series(machine.scores([terms(t, settings) for t in text]) >= 0.5)
+        return pd.Series(machine.of_texts(list(text), settings) >= 0.5)
 
     return docs.where(~rejected(F.col("text")))
