@@ -222,6 +222,25 @@ def test_decontamination_finds_passages_and_paraphrases(spark):
         assert common_subsequence(a, b) == table[-1][-1]
 
 
+def test_decontamination_needs_no_last_sentence_and_no_cosine(spark):
+    from topicloom.llm.decontaminate import contaminated
+
+    r = random.Random(5)
+    words = [f"w{k}" for k in range(400)]
+    r.shuffle(words)
+    items = [words[:6], *(words[k : k + 40] for k in range(10, 370, 40))]
+    texts = [" ".join(w) + "." for w in items]
+    texts[1] = " ".join(items[1][:39]) + ". Er."  # a one-word last sentence
+    texts[2] = " ".join(items[2][:32]) + ". " + " ".join(items[2][32:]) + "."
+    others = r.sample([w for i in items[4:] for w in i], 58)  # words of other items, out of order: a cosine below 0.3
+    docs = [" ".join(items[1][:39]), " ".join(items[2][:32]), " ".join(others[:29] + items[0][:5] + others[29:]), " ".join(items[3])]
+    docs = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    assert {(x["doc_id"], x["item_id"]) for x in contaminated(docs, bench).collect()} == {(0, 1), (1, 2), (2, 0), (3, 3)}
+    answers = spark.createDataFrame([(k, t, {3: "not there at all", 2: items[2][0]}.get(k)) for k, t in enumerate(texts)], "item_id long, text string, answer string")
+    assert {(x["doc_id"], x["item_id"]) for x in contaminated(docs, answers).collect()} == {(0, 1), (1, 2), (2, 0)}
+
+
 def test_licence_scan(spark):
     from topicloom.llm.licences import TEMPLATES, licence_scan
 

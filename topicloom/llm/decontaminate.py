@@ -1,8 +1,9 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 TF-IDF rows of the benchmark's passages, with document counts of the whole corpus, go through a distributed randomised
-SVD (Halko, Martinsson and Tropp 2011). Windows of every document are folded into that space and the items near them by
-cosine are candidates, which a longest common subsequence of words and an answer check confirm.
+SVD (Halko, Martinsson and Tropp 2011). Windows of every document are folded into that space and ranked by cosine. An
+item is a candidate wherever it shares words enough, which loses no place, and a longest common subsequence of words
+confirms it, with an answer check where the benchmark has answers.
 """
 
 from __future__ import annotations
@@ -20,14 +21,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _WORD = re.compile(r"[^\W_]+")
-_SENTENCE = re.compile(r"[.!?\n]+")
 
 
 @dataclass(frozen=True)
 class Settings:
     share: float = 0.7  # least share of an item's words in order in a document
     answer_share: float = 0.5  # least share of its answer's words in order in the same place
-    cosine: float = 0.3  # least cosine of a candidate in the latent space
     half: int = 32  # words; windows span two halves and each is confirmed with a half more on either side
     passage: int = 64  # words of a benchmark passage: longer items are cut
     block: int = 256  # passages whose latent space is built at once, and its rank: none of their directions is lost
@@ -60,13 +59,12 @@ class Passage:
 
 
 def passages(spark: SparkSession, benchmark: DataFrame, settings: Settings) -> Iterator[list[Passage]]:
-    """The benchmark's passages, a block at a time. An answer is the ``answer`` column's, else the item's last sentence."""
+    """The benchmark's passages, a block at a time. Only items with a value in an ``answer`` column have an answer."""
     answer = F.col("answer").cast("string") if "answer" in benchmark.columns else F.lit(None).cast("string")
     block: list[Passage] = []
     for row in benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text", answer.alias("answer")).distinct().orderBy("item_id", "text").toLocalIterator():
         w = words(row["text"])
-        sentences = [s for s in map(words, _SENTENCE.split(row["text"] or "")) if s]
-        last = words(row["answer"]) or (sentences[-1] if sentences else [])
+        last = words(row["answer"])
         for k in range(0, len(w), settings.passage):
             part = w[k : k + settings.passage]
             if k and len(part) < settings.passage // 2:
@@ -175,14 +173,12 @@ class Index:
         norms = np.linalg.norm(vectors, axis=1, keepdims=True)
         cosines = (vectors / np.where(norms > 0, norms, 1)) @ self.items[alive].T
         best: dict[int, tuple[float, float, int]] = {}
-        near = cosines >= s.cosine
-        for row in np.flatnonzero(near.any(1)).tolist():
+        for row in range(len(windows)):
             first = max(0, (int(windows[row]) - 1) * s.half)
             place = slice(first, (int(windows[row]) + 3) * s.half)
             terms = np.unique(ids[place])
-            found = np.flatnonzero(near[row])
-            bound = self.held[np.ix_(alive[found], terms[terms >= 0])].sum(1)  # the same of the place alone
-            for k in found[bound >= self.least[alive[found]]].tolist():
+            bound = self.held[np.ix_(alive, terms[terms >= 0])].sum(1)  # the same of the place alone
+            for k in np.flatnonzero(bound >= self.least[alive]).tolist():
                 p = int(alive[k])
                 passage = self.block[p]
                 n = common_subsequence(passage.words, w[place])
