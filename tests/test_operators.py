@@ -52,6 +52,25 @@ def test_clusters_of_blobs(spark):
         clustering.seeded_kmeans(x[:0], 3)
 
 
+def test_strategies_do_not_change_with_the_number_of_notes(spark, monkeypatch):
+    from topicloom.plans import topics
+
+    monkeypatch.setattr(clustering, "SWEEP_POINTS", 20, raising=False)  # the bound that there was
+    rng = np.random.default_rng(0)
+    x = np.concatenate([rng.normal(c, 1, (10, 3)) for c in (0, 50, 100)])
+    notes = spark.createDataFrame([(str(k), k, f"title {k}", "some words of a body") for k in range(30)], "note_id string, note_idx long, title string, body string")
+    points = spark.createDataFrame([(str(k), v.tolist()) for k, v in enumerate(x)], "note_id string, vector array<double>")
+    config = clustering.Config(metric="euclidean", dimensions=None, strategies=clustering.config_for(30).strategies)
+    found = {r["strategy"]: r["clusters"] for r in topics.run(notes, points, config=config).summary.collect()}
+    assert found == {"kmeans-auto": 3, "hdbscan": 3}
+    many = spark.range(20_001).selectExpr("id AS note_id", "array(CAST(id AS double), 1.0D) AS vector")
+    assert topics.matrix(many)[:, 0].tolist() == list(range(20_001))
+    y = rng.normal(size=(60, 3))
+    whole = clustering.hdbscan(y, 5), clustering.umap(y, 2, 5)
+    monkeypatch.setattr(clustering, "BLOCK_DISTANCES", 60 * 7)
+    assert (clustering.hdbscan(y, 5) == whole[0]).all() and np.allclose(clustering.umap(y, 2, 5), whole[1])
+
+
 def test_labels(spark):
     rows = [(0, "machine learning", 1.0, 1), (0, "learning", 0.9, 2), (0, "neural net", 0.7, 3), (0, "learning rate", 0.4, 4), (1, "sourdough", 1.0, 1), (2, "learning", 1.0, 1), (3, "learning", 2.0, 1)]
     s = spark.createDataFrame(rows, "cluster_id int, ngram string, score double, rank int")

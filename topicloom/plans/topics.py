@@ -49,23 +49,15 @@ def run(notes: DataFrame, note_vectors: DataFrame, ask: Callable | None = None,
     if n < LEAST_NOTES:
         raise ValueError(f"clustering takes {LEAST_NOTES} notes with vectors or more; there are {n}")
     config = config or clustering.config_for(n)
-    if n <= clustering.SWEEP_POINTS:  # a checked bound on what reaches the driver
-        rows = met.select("note_idx", "note_id", "vector").orderBy("note_idx", "note_id").toArrow()
-        flat = rows.column("vector").combine_chunks()
-        x = flat.flatten().to_numpy().reshape(n, -1)
-        ids, order = rows.column("note_id").to_pylist(), rows.column("note_idx").to_pylist()
-        results = clustering.benchmark(spark, x, config)
-        found = [(r.strategy.name, i, o, int(c)) for r in results for i, o, c in zip(ids, order, r.labels.tolist(), strict=True)]
-        assignments = spark.createDataFrame(found, "strategy string, note_id string, note_idx long, cluster_id int")
-        summary = clustering.comparison(spark, results)
-        names = [r.strategy.name for r in results]
-    else:
-        _, high = clustering.k_range(n)
-        placed = clustering.kmeans_at_scale(met.select("note_id", "note_idx", "vector"), high, config.seed)
-        assignments = placed.select(F.lit("kmeans").alias("strategy"), F.col("note_id").cast("string").alias("note_id"), F.col("note_idx").cast("long").alias("note_idx"), "cluster_id")
-        score = clustering.exact_silhouette(placed.select("note_id", "cluster_id", "vector"), config.metric).first()["silhouette"]
-        summary = spark.createDataFrame([("kmeans", "kmeans", high, 0, float(score))], "strategy string, algorithm string, clusters int, outliers int, silhouette double")
-        names = ["kmeans"]
+    rows = met.select("note_idx", "note_id", "vector").orderBy("note_idx", "note_id").toArrow()
+    flat = rows.column("vector").combine_chunks()
+    x = flat.flatten().to_numpy().reshape(n, -1)
+    ids, order = rows.column("note_id").to_pylist(), rows.column("note_idx").to_pylist()
+    results = clustering.benchmark(spark, x, config)
+    found = [(r.strategy.name, i, o, int(c)) for r in results for i, o, c in zip(ids, order, r.labels.tolist(), strict=True)]
+    assignments = spark.createDataFrame(found, "strategy string, note_id string, note_idx long, cluster_id int")
+    summary = clustering.comparison(spark, results)
+    names = [r.strategy.name for r in results]
     texts = notes.withColumn("note_id", F.col("note_id").cast("string"))
     grams = tfidf.corpus_ngrams(texts.join(met.select(F.col("note_id").cast("string").alias("note_id")), "note_id", "left_semi")).persist()
     clusters = None
@@ -82,9 +74,7 @@ def run(notes: DataFrame, note_vectors: DataFrame, ask: Callable | None = None,
     return Topics(summary, assignments, clusters)
 
 
-def matrix(note_vectors: DataFrame, most: int = clustering.SWEEP_POINTS) -> np.ndarray:
-    """A bounded table's vectors in the order of note_id; more rows than ``most`` are an error, never cut."""
-    rows = note_vectors.select("note_id", "vector").orderBy("note_id").limit(most + 1).toArrow()
-    if rows.num_rows > most:
-        raise ValueError(f"more than {most} vectors")
+def matrix(note_vectors: DataFrame) -> np.ndarray:
+    """A table's vectors in the order of note_id, all of them: the methods that take them pair up every two points."""
+    rows = note_vectors.select("note_id", "vector").orderBy("note_id").toArrow()
     return rows.column("vector").combine_chunks().flatten().to_numpy().reshape(rows.num_rows, -1) if rows.num_rows else np.empty((0, 0))
