@@ -103,6 +103,15 @@ def test_conversations_in_reply_order(spark):
     assert by[None, 2]["text"] == "ok" and not by[None, 2]["linked"]
 
 
+def test_quoted_lines_and_short_sentences_link(spark):
+    from topicloom.llm.quotes import linked_conversations
+
+    texts = ["line one\nline two\nline three", "Well then. Yes, I agree. So let us go on with it.", "neither", "> line two\nwhy?", "> Yes, I agree.\nnot me", "> line two\n> line three\nboth", "> Yes, I agree. So let us go on with it.\nthe longer one"]
+    rows = [(1, k, "user", t) for k, t in enumerate(texts)]
+    got = {g["turn"]: (g["reply_to"], g["linked"], g["depth"]) for g in linked_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert got == {0: (None, False, 0), 1: (0, False, 1), 2: (1, False, 2), 3: (0, True, 1), 4: (1, True, 2), 5: (0, True, 1), 6: (1, True, 2)}
+
+
 def test_pipeline_stages_equal_their_operators(spark, tmp_path):
     import corpus_pipeline
     from topicloom.llm.common import table

@@ -20,8 +20,6 @@ from topicloom.llm.common import dropped, shuffle_partitions, stored
 _QUOTE = re.compile(r"^\s{0,3}((?:>\s?)+)(.*)$")
 _SAYS = re.compile(r"^\s*(?:>\s?)*(?:on\b.{0,200}\bwrote:|-{2,}\s*original message\s*-{2,}|(?:from|sent|to|subject):\s.*)\s*$", re.I)
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
-#: Words of the shortest sentence that links by itself; whole passages and paragraphs link at any length.
-SENTENCE_WORDS = 5
 
 
 def normal(text: str) -> str:
@@ -52,9 +50,9 @@ def parse(text: str | None) -> tuple[str, list[tuple[int, str]]]:
 
 
 def units(text: str) -> set[str]:
-    """Normalised passages of a text that can be linked: all of it, its paragraphs, and its sentences of some words."""
-    found = {normal(text), *(normal(p) for p in re.split(r"\n\s*\n", text))}
-    found.update(s for p in list(found) for s in _SENTENCE.split(p) if s.count(" ") >= SENTENCE_WORDS - 1)
+    """Normalised passages of a text that can be linked: all of it, its paragraphs, its lines, and the sentences of each."""
+    found = {normal(text), *(normal(p) for p in re.split(r"\n\s*\n", text)), *map(normal, text.split("\n"))}
+    found.update(s for p in list(found) for s in _SENTENCE.split(p))
     return {u for u in found if u}
 
 
