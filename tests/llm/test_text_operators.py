@@ -250,6 +250,19 @@ def test_licence_scan(spark):
     assert {(r["doc_id"], r["license_id"], r["n_matches"]) for r in got} == {(0, "MIT", 1), (1, "MIT", 1), (2, "MIT", 1), (3, "Apache-2.0", 1), (7, "CC-BY-NC-4.0", 3)}
 
 
+def test_licences_inside_lines_and_of_one_family():
+    from topicloom.llm.licences import TEMPLATES, Scanner
+
+    scan = Scanner().scan
+    found = lambda text: [(m[0], m[2]) for m in scan(text)]
+    assert found("Released under the MIT License and distributed by Foo Inc.") == [("MIT", 1)]
+    assert found("About us, contact | Licensed under CC BY 4.0 | all pages of 2020 | by Foo and friends") == [("CC-BY-4.0", 1)]
+    assert found("Code is released under the MIT License, texts are licensed under CC BY-SA 4.0 as ever") == [("CC-BY-SA-4.0", 1), ("MIT", 1)]
+    assert scan("one\ntwo released under the MIT License, see\nthree")[0][3:] == (1, 1)
+    for name, texts in TEMPLATES.items():
+        assert all(found("by us, " + t + " and so on") == [(name, 1)] for t in texts), name
+
+
 def test_empty_tables(spark):
     import public_tokenizers
 

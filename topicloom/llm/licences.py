@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass, field
@@ -17,6 +19,10 @@ _BREAK = re.compile(r"\n|(?<=[.!?;])\s+")
 #: Spellings that count as one word.
 _SAME = {"licence": "license", "licences": "licenses", "licenced": "licensed", "noncommercial": "nc", "v2": "version", "v3": "version"}
 
+_BSD_TERMS = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+_BSD_NAMES = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. "
+_BSD_WARRANTY = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+
 #: Notices and short licence texts as their publishers word them.
 TEMPLATES: dict[str, tuple[str, ...]] = {
     "MIT": (
@@ -36,11 +42,26 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     ),
-    "LGPL-3.0": ("This work is licensed under the GNU Lesser General Public License, version 3.",),
-    "AGPL-3.0": ("This work is licensed under the GNU Affero General Public License, version 3.",),
+    "LGPL-2.1": (
+        "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    ),
+    "LGPL-3.0": (
+        "This work is licensed under the GNU Lesser General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ),
+    "AGPL-3.0": (
+        "This work is licensed under the GNU Affero General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ),
+    "BSD-2-Clause": (
+        "Licensed under the BSD 2-Clause License.",
+        _BSD_TERMS + _BSD_WARRANTY,
+    ),
     "BSD-3-Clause": (
         "Licensed under the BSD 3-Clause License.",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+        _BSD_TERMS + _BSD_NAMES + _BSD_WARRANTY,
     ),
     "ISC": ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",),
     "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",),
@@ -48,6 +69,16 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "CC-BY-4.0": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    "Apache-1.0": ("Licensed under the Apache License, Version 1.0.",),
+    "Apache-1.1": ("Licensed under the Apache License, Version 1.1.",),
+    "CC-BY-3.0": ("Licensed under CC BY 3.0.",),
+    "CC-BY-SA-3.0": ("Licensed under CC BY-SA 3.0.",),
+    "CC-BY-NC-3.0": ("Licensed under CC BY-NC 3.0.",),
+    "CC-BY-ND-4.0": ("Licensed under CC BY-ND 4.0.",),
+    "CC-BY-NC-SA-4.0": ("Licensed under CC BY-NC-SA 4.0.",),
+    "CC-BY-NC-ND-4.0": ("Licensed under CC BY-NC-ND 4.0.",),
+    "CC-BY-NC-SA-3.0": ("Licensed under CC BY-NC-SA 3.0.",),
+    "CC-BY-NC-ND-3.0": ("Licensed under CC BY-NC-ND 3.0.",),
     "CC0-1.0": ("Licensed under CC0 1.0.", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
 }
 
@@ -66,7 +97,9 @@ class Template:
 
 @dataclass
 class Scanner:
-    """Finds the stretches of whole lines and sentences whose Dice coefficient with a template reaches the threshold.
+    """Finds the stretches of words whose Dice coefficient with a template reaches the threshold.
+
+    A stretch begins and ends with one of the template's bigrams: cutting any other off an end only raises the Dice.
 
     Sizes count repeats. Dice >= t bounds a stretch of size a against a template of size b: t b / (2 - t) <= a <=
     b (2 - t) / t, and at least t b / (2 - t) of its bigrams must be the template's. Both prune; neither loses a match.
@@ -88,7 +121,7 @@ class Scanner:
 
     def scan(self, text: str | None) -> list[tuple[str, float, int, int, int]]:
         """(licence, best Dice, matches, first and last segment of the best) of a whole text, best matches first claiming
-        their segments."""
+        their words. Segments are lines and sentences."""
         if not text:
             return []
         flat: list[str] = []
@@ -106,38 +139,37 @@ class Scanner:
         found: list[tuple[float, int, int, int, str]] = []
         for t, at in hits.items():
             if len(at) >= self.threshold * self.known[t].size / (2 - self.threshold) - 1e-9:
-                found += self._stretches(self.known[t], at, flat, ends)
+                found += self._stretches(self.known[t], at, flat)
         found.sort(key=lambda m: (-m[0], -m[1], m[2], m[4]))
-        taken: set[int] = set()
+        taken = bytearray(len(flat))
         best: dict[str, list] = {}
         for dice, _, i, j, licence in found:
-            if taken.isdisjoint(range(i, j + 1)):
-                taken.update(range(i, j + 1))
-                best.setdefault(licence, [dice, 0, i, j])[1] += 1
+            if not any(taken[i : j + 1]):
+                taken[i : j + 1] = b"\1" * (j + 1 - i)
+                best.setdefault(licence, [dice, 0, bisect_right(ends, i), bisect_right(ends, j)])[1] += 1
         return [(licence, *row) for licence, row in sorted(best.items())]
 
-    def _stretches(self, template: Template, at: list[int], flat: list[str], ends: list[int]) -> list[tuple[float, int, int, int, str]]:
-        """Stretches that begin and end in a segment that touches one of the template's bigrams."""
-        from bisect import bisect_right
-
-        touched = sorted({s for k in at for s in (bisect_right(ends, k), bisect_right(ends, k + 1))})
-        most, out = template.size * (2 - self.threshold) / self.threshold + 1e-9, []
-        for n, i in enumerate(touched):
-            begin = ends[i - 1] if i else 0
-            common, left, k = 0, dict(template.grams), begin
-            for j in touched[n:]:
-                size = ends[j] - begin - 1
+    def _stretches(self, template: Template, at: list[int], flat: list[str]) -> list[tuple[float, int, int, int, str]]:
+        """Stretches, by first and last word, that begin and end with one of the template's bigrams, which start at ``at``."""
+        most = template.size * (2 - self.threshold) / self.threshold + 1e-9
+        least = max(1, math.ceil(self.threshold * template.size / (2 - self.threshold) - 1e-9))
+        out = []
+        for n in range(len(at) - least + 1):
+            begin = at[n]
+            if at[n + least - 1] - begin + 1 > most:
+                continue
+            common, left = 0, dict(template.grams)
+            for k in at[n:]:
+                size = k - begin + 1
                 if size > most:
                     break
-                while k < ends[j] - 1:
-                    gram = (flat[k], flat[k + 1])
-                    if left.get(gram, 0):
-                        left[gram] -= 1
-                        common += 1
-                    k += 1
-                dice = 2 * common / (size + template.size) if size > 0 else 0.0
-                if dice >= self.threshold:
-                    out.append((dice, template.size, i, j, template.licence))
+                gram = (flat[k], flat[k + 1])
+                if left[gram]:
+                    left[gram] -= 1
+                    common += 1
+                    dice = 2 * common / (size + template.size)
+                    if dice >= self.threshold:
+                        out.append((dice, template.size, begin, k + 1, template.licence))
         return out
 
 
