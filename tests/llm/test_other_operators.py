@@ -128,9 +128,10 @@ def test_pipeline_stages_equal_their_operators(spark, tmp_path):
     two = dedup(spark, one, sf).cache()
     assert {r["doc_id"] for r in two.collect()} == {r["component_id"] for r in near_groups(one).collect()}
     three = cut(spark, two, sf).cache()
-    lost = {r["doc_id"]: r["n_bytes"] - r["n_removed"] for r in suffix_dedup(two).collect()}
-    assert {r["doc_id"]: len(r["text"].encode()) for r in three.collect()} .keys() == lost.keys()
-    assert all(0 <= lost[r["doc_id"]] - len(r["text"].encode()) < 8 and r["n_chars"] == len(r["text"]) for r in three.collect())
+    held = {r["doc_id"]: r["n_passages"] for r in suffix_dedup(two, corpus_pipeline.PASSAGES).collect()}
+    before = {r["doc_id"]: r["text"] for r in two.collect()}
+    assert before.keys() == held.keys() == {r["doc_id"] for r in three.collect()}
+    assert all((r["text"] != before[r["doc_id"]]) == (held[r["doc_id"]] > 0) and r["n_chars"] == len(r["text"] or "") for r in three.collect())
     four = leaks(spark, three, sf).cache()
     hit = {r["doc_id"] for r in contaminated(three, table(spark, sf, "benchmark")).collect()}
     assert {r["doc_id"] for r in four.collect()} == {r["doc_id"] for r in three.collect()} - hit

@@ -74,26 +74,76 @@ def test_crowded_buckets_lose_no_link(spark):
     assert all(got.get(k, k) == g for k, g in group.items())
 
 
-@pytest.mark.parametrize("most", [1, 1000])
-def test_suffix_dedup_equals_brute_force(docs, rows, most):
-    from topicloom.llm.suffixes import Settings, suffix_dedup
-
-    n = 400
+def covered(texts, n):
+    """Maximal runs of each text that strings of n bytes which start anywhere else too cover."""
     seen = collections.Counter()
-    texts = [(r[0], (r[1] or "").encode()) for r in rows]
-    for _, t in texts:
+    for t in texts:
         seen.update(t[k : k + n] for k in range(len(t) - n + 1))
-    want = []
-    for i, t in texts:
+    out = []
+    for t in texts:
         gone = bytearray(len(t))
         for k in range(len(t) - n + 1):
             if seen[t[k : k + n]] > 1:
                 gone[k : k + n] = b"\1" * n
-        runs = sum(1 for k, g in enumerate(gone) if g and (not k or not gone[k - 1]))
-        kept = bytes(c for c, g in zip(t, gone) if not g)
-        want.append((str(i), len(t), sum(gone), runs, hashlib.sha256(kept).hexdigest()))
-    got = [(str(r["doc_id"]), r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup(docs, Settings(sorted_contexts=most)).collect()]
+        starts = [k for k, g in enumerate(gone) if g and (not k or not gone[k - 1])]
+        out.append([(a, (gone.find(0, a) + 1 or len(t) + 1) - 1) for a in starts])
+    return out
+
+
+def cut_out(text, runs):
+    gone = {k for a, b in runs for k in range(a, b)}
+    return bytes(c for k, c in enumerate(text) if k not in gone)
+
+
+@pytest.mark.parametrize(("most", "passage"), [(1, 250), (1000, 250), (1000, None)])
+def test_suffix_dedup_equals_brute_force(docs, rows, most, passage):
+    from topicloom.llm.suffixes import Settings, suffix_dedup
+
+    texts = [(r[1] or "").encode() for r in rows]
+    want = []
+    for row, t, runs, short in zip(rows, texts, covered(texts, 400), covered(texts, passage or 400)):
+        kept = cut_out(t, runs)
+        want.append((str(row[0]), len(t), len(t) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), sum(len(t[a:b].split()) >= 50 for a, b in short)))
+    got = [(str(r["doc_id"]), r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"], r["n_passages"]) for r in suffix_dedup(docs, Settings(sorted_contexts=most, passage=passage)).collect()]
     assert sorted(got) == sorted(want)
+    assert any(w[5] for w in want)
+
+
+def test_passages_of_fifty_words_go_and_shorter_ones_stay(spark, docs, rows):
+    from topicloom.llm.suffixes import Settings, without_passages
+
+    r = random.Random(8)
+    prose = lambda n: " ".join("".join(r.choices("abcdefgh", k=4)) for _ in range(n))
+    long, short = prose(51), prose(45)
+    more = [(100 + k, f"{prose(40)} {shared} {prose(30)}", "en", "s", 1, 0.5, 7, "c") for k, shared in enumerate([long, long, short, short])]
+    table = docs.unionByName(spark.createDataFrame(more, docs.schema))
+    every = rows + more
+    texts = [(x[1] or "").encode() for x in every]
+    want = []
+    for x, t, found in zip(every, texts, covered(texts, 200)):
+        kept = cut_out(t, [(a, b) for a, b in found if len(t[a:b].split()) >= 50]).decode("utf-8", "ignore")
+        want.append((str(x[0]), None if x[1] is None else kept))
+    got = without_passages(table, Settings(length=200)).collect()
+    assert sorted((str(g["doc_id"]), g["text"] or "") for g in got) == sorted((i, t or "") for i, t in want)
+    assert all(g["n_chars"] == len(g["text"]) for g in got if g["text"] is not None and g["doc_id"] in (100, 101))
+    by = {g["doc_id"]: g["text"] for g in got}
+    assert long not in by[100] and short in by[102] and by[102] == more[2][1]
+
+
+def test_one_row_of_each_simhash_group_stays(spark, docs, rows):
+    from topicloom.llm.simhash import deduplicated, near_groups
+
+    got = deduplicated(docs).collect()
+    groups = near_groups(docs).collect()
+    by = collections.defaultdict(list)
+    for g in groups:
+        by[str(g["component_id"])].append(g["doc_id"])
+    assert len(got) == len(by) and sorted(str(g["doc_id"]) for g in got) == sorted(by)
+    none = spark.createDataFrame([(None, "no id"), (None, "no id"), (None, None), (3, "no id")], "doc_id long, text string")
+    assert sorted((str(g["doc_id"]), str(g["text"])) for g in deduplicated(none).collect()) == [("3", "no id"), ("None", "None")]
+    two = spark.createDataFrame([(5, "one two three four five"), (5, "quite another text of some length here"), (5, "one two three four five")], "doc_id long, text string")
+    assert sorted(g["text"] for g in deduplicated(two).collect()) == ["one two three four five", "quite another text of some length here"]
+    assert deduplicated(docs.limit(0)).count() == 0
 
 
 def test_katz_equals_brute_force_and_sums_to_one(docs, rows):

@@ -7,6 +7,9 @@ distinct contexts of an anchor are suffix-sorted by mergesort, forwards from the
 comparison finds common extensions by binary search over prefix polynomial hashes and verifies them on the bytes. A
 merge of the backward order from the longest common extension down then meets, for each context, every partner that can
 extend its longest repeat. Anchors with more contexts than one task should sort are matched by hashed windows instead.
+Equal contexts are told by cryptographic digests, for which no two byte strings of one digest are known.
+
+Repeats can be looked for at two lengths at once: at ``length``, and at a shorter one for passages counted in words.
 """
 
 from __future__ import annotations
@@ -28,11 +31,18 @@ from topicloom.llm.common import dropped, released, stored
 @dataclass(frozen=True)
 class Settings:
     length: int = 400  # bytes of a repeated string
-    gram: int = 128  # bytes of an anchor
+    passage: int | None = None  # bytes of the repeated strings that passages are made of; None: the length
+    words: int = 50  # least words of a passage
+    gram: int = 64  # bytes of an anchor
     sorted_contexts: int = 1000  # distinct contexts of an anchor that one task sorts; more go by hashed windows
     block: int = 32  # windows of one step of that way
     span: int = 1 << 20  # bytes of a text that are hashed at once
 
+    @property
+    def levels(self) -> tuple[int, ...]:
+        """The lengths of repeats that are looked for, the longest first."""
+        return tuple(sorted({self.length, self.passage or self.length}, reverse=True))
+
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
@@ -52,11 +62,12 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def anchors(text: bytes, settings: Settings) -> tuple[np.ndarray, np.ndarray]:
     """(positions, q-gram hashes) of the minimizers of all windows of a whole text."""
-    n, q, w = len(text), settings.gram, settings.length - settings.gram + 1
+    n, q, least = len(text), settings.gram, settings.levels[-1]
+    w = least - q + 1
     at, hashes = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
-    for start in range(0, n - settings.length + 1, settings.span):
-        raw = np.frombuffer(text, np.uint8, min(n - start, settings.span + settings.length - 1), start).astype(np.uint64)
-        powers, inverse = _powers(settings.span + settings.length)
+    for start in range(0, n - least + 1, settings.span):
+        raw = np.frombuffer(text, np.uint8, min(n - start, settings.span + least - 1), start).astype(np.uint64)
+        powers, inverse = _powers(settings.span + least)
         sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((raw + np.uint64(1)) * powers[: len(raw)], dtype=np.uint64)))
         gram = (sums[q:] - sums[:-q]) * inverse[: len(raw) - q + 1]
         gram = (gram ^ (gram >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
@@ -110,8 +121,9 @@ class Extensions:
         return sorted(range(len(self.strings)), key=cmp_to_key(compare))
 
 
-def longest_repeats(contexts: list[bytes], lefts: list[int], length: int) -> list[tuple[int, int]]:
-    """For each distinct context of one anchor, bytes before and from the anchor that its repeats cover; (0, 0) if none."""
+def longest_repeats(contexts: list[bytes], lefts: list[int], lengths: tuple[int, ...]) -> list[list[tuple[int, int]]]:
+    """For each length and each distinct context of one anchor, bytes before and from the anchor that its repeats of that
+    length or more cover; (0, 0) if none."""
     forward = Extensions([c[n:] for c, n in zip(contexts, lefts, strict=True)])
     backward = Extensions([c[:n][::-1] for c, n in zip(contexts, lefts, strict=True)])
     ranked = forward.order()
@@ -120,7 +132,7 @@ def longest_repeats(contexts: list[bytes], lefts: list[int], length: int) -> lis
     joins = sorted(((backward.common(a, b), k) for k, (a, b) in enumerate(zip(order, order[1:], strict=False))), reverse=True)
     member = {k: k for k in range(len(order))}  # position in the backward order -> its run, by the run's last holder
     groups: dict[int, list[int]] = {k: [rank[i]] for k, i in enumerate(order)}
-    covered = [(0, 0)] * len(contexts)
+    covered = [[(0, 0)] * len(contexts) for _ in lengths]
 
     def top(k: int) -> int:
         while member[k] != k:
@@ -136,9 +148,10 @@ def longest_repeats(contexts: list[bytes], lefts: list[int], length: int) -> lis
             for other in into[max(0, p - 1) : p + 1]:
                 i, j = ranked[r], ranked[other]
                 after = forward.common(i, j)
-                if before + after >= length:
-                    covered[i] = max(covered[i][0], before), max(covered[i][1], after)
-                    covered[j] = max(covered[j][0], before), max(covered[j][1], after)
+                for length, held in zip(lengths, covered, strict=True):
+                    if before + after >= length:
+                        held[i] = max(held[i][0], before), max(held[i][1], after)
+                        held[j] = max(held[j][0], before), max(held[j][1], after)
             into.insert(p, r)
         member[small] = large
     return covered
@@ -163,18 +176,19 @@ def _anchor_rows(docs: DataFrame, settings: Settings) -> DataFrame:
     schema = "anchor long, context binary, " + _PLACE + ", before int, after int"
     arrow = _by_numpy(schema)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh3_128_digest
+    def digested(raw: bytes, before: int) -> bytes:
+        return hashlib.blake2b(raw, digest_size=16, salt=before.to_bytes(8, "little")).digest()
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cols: list[list] = [[] for _ in range(7)]
             for doc_id, digest, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if len(text) < settings.length:
+                if len(text) < settings.levels[-1]:
                     continue
                 at, hashes = anchors(text, settings)
                 before = np.minimum(at, settings.length - settings.gram)
                 after = np.minimum(settings.length, len(text) - at)
-                contexts = [xxh3_128_digest(text[a:b], seed) for a, b, seed in zip((at - before).tolist(), (at + after).tolist(), before.tolist(), strict=True)]
+                contexts = [digested(text[a:b], left) for a, b, left in zip((at - before).tolist(), (at + after).tolist(), before.tolist(), strict=True)]
                 for col, values in zip(cols, (hashes.view(np.int64).tolist(), contexts, [doc_id] * len(at), [digest] * len(at), at.tolist(), before.tolist(), after.tolist()), strict=True):
                     col += values
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, arrow.types, strict=True)], schema=arrow)
@@ -185,11 +199,10 @@ def _anchor_rows(docs: DataFrame, settings: Settings) -> DataFrame:
 def _contexts(docs: DataFrame, wanted: DataFrame, settings: Settings) -> DataFrame:
     """The bytes of the wanted contexts, whole for anchors that are sorted and in overlapping blocks for the others.
 
-    step 1: a context; else the windows [lo, hi) of a block, relative to the anchor, and their bytes.
+    level 0: a context; else the windows [lo, hi) of a block, relative to the anchor, each of ``level`` bytes, and their bytes.
     """
-    schema = "anchor long, step int, " + _PLACE + ", lo int, hi int, once int, raw binary"
+    schema = "anchor long, level int, " + _PLACE + ", lo int, hi int, once int, raw binary"
     arrow = _by_numpy(schema)
-    length = settings.length
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -198,11 +211,13 @@ def _contexts(docs: DataFrame, wanted: DataFrame, settings: Settings) -> DataFra
                 for p in places:
                     at, before, after = p["pos"], p["before"], p["after"]
                     if p["distinct"] <= settings.sorted_contexts:
-                        rows.append((p["anchor"], 1, doc_id, digest, at, -before, after, int(p["n"] == 1), text[at - before : at + after]))
+                        rows.append((p["anchor"], 0, doc_id, digest, at, -before, after, int(p["n"] == 1), text[at - before : at + after]))
                         continue
-                    for lo in range(-before // settings.block * settings.block, after - length + 1, settings.block):
-                        a, b = max(lo, -before), min(lo + settings.block, after - length + 1)
-                        rows.append((p["anchor"], lo, doc_id, digest, at, a, b, int(p["n"] == 1), text[at + a : at + b - 1 + length]))
+                    for level in settings.levels:
+                        for lo in range(-before // settings.block * settings.block, after - level + 1, settings.block):
+                            a, b = max(lo, -before), min(lo + settings.block, after - level + 1)
+                            if a < b:
+                                rows.append((p["anchor"], level, doc_id, digest, at, a, b, int(p["n"] == 1), text[at + a : at + b - 1 + level]))
                     if len(rows) > 20_000:
                         yield _batch(rows, arrow)
                         rows = []
@@ -221,16 +236,17 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 
 def _sorted_repeats(rows: DataFrame, settings: Settings, tasks: int) -> DataFrame:
     """Repeats among the contexts of each anchor, which ``sorted_contexts`` bounds in number and the length in size."""
-    schema = _KEY + ", start long, stop long"
+    schema = _KEY + ", start long, stop long, level int"
     arrow = _by_numpy(schema)
 
     def solve(group: list[tuple]) -> Iterator[tuple]:
         if len(group) < 2:
             return
-        found = longest_repeats([g[5] for g in group], [-g[3] for g in group], settings.length)
-        for (doc_id, digest, pos, _, once, _), (before, after) in zip(group, found, strict=True):
-            if once and before + after:
-                yield doc_id, digest, pos - before, pos + after
+        found = longest_repeats([g[5] for g in group], [-g[3] for g in group], settings.levels)
+        for level, covered in zip(settings.levels, found, strict=True):
+            for (doc_id, digest, pos, _, once, _), (before, after) in zip(group, covered, strict=True):
+                if once and before + after:
+                    yield doc_id, digest, pos - before, pos + after, level
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: int | None = None
@@ -262,27 +278,28 @@ def _hashed_repeats(blocks: DataFrame, settings: Settings) -> list[DataFrame]:
     Blocks whose core, the bytes that all their windows hold, is held once are done with; equal blocks are repeats as
     they stand; one of each kind is cut into smaller blocks, down to single windows.
     """
-    rows, size, out = blocks.select("anchor", "doc_id", "digest", "pos", "lo", "hi", "once", "raw"), settings.block, []
+    rows, size, out = blocks.select("anchor", "level", "doc_id", "digest", "pos", "lo", "hi", "once", "raw"), settings.block, []
     while True:
         step = (F.floor(F.col("lo") / size) * size).cast("int")
-        rows = rows.withColumn("step", step).withColumn("core", F.sha2(F.substring("raw", F.col("step") + size - F.col("lo"), F.lit(settings.length - size + 1)), 256))
-        live = stored(_held_twice(rows, ["anchor", "step", "core"], "cores").drop("core").withColumn("whole", F.sha2(F.concat(F.col("lo").cast("string").cast("binary"), F.lit(b":"), F.col("raw")), 256)), "blocks")
-        span = [(F.col("pos") + F.col("lo")).alias("start"), (F.col("pos") + F.col("hi") - 1 + settings.length).alias("stop")]
+        rows = rows.withColumn("step", step).withColumn("core", F.sha2(F.substring("raw", F.col("step") + size - F.col("lo"), F.col("level") - size + 1), 256))
+        live = stored(_held_twice(rows, ["anchor", "level", "step", "core"], "cores").drop("core").withColumn("whole", F.sha2(F.concat(F.col("lo").cast("string").cast("binary"), F.lit(b":"), F.col("raw")), 256)), "blocks")
+        span = [(F.col("pos") + F.col("lo")).alias("start"), (F.col("pos") + F.col("hi") - 1 + F.col("level")).alias("stop"), "level"]
         if size == 1:  # a core is a window now
             out.append(live.where("once = 1").select("doc_id", "digest", *span))
             return out
-        key = ["anchor", "step", "whole"]
+        key = ["anchor", "level", "step", "whole"]
         kinds = stored(live.groupBy(key).agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "digest", "pos", "lo", "hi", "once", "raw")).alias("one")), "kinds")
         out.append(live.where("once = 1").join(kinds.where("n > 1").select(key), key).select("doc_id", "digest", *span))
         size = max(1, size // 4)
-        cut = kinds.select("anchor", "n", "one.*").withColumn("at", F.explode(F.sequence(F.floor(F.col("lo") / size) * size, F.col("hi") - 1, F.lit(size).cast("long"))))
+        cut = kinds.select("anchor", "level", "n", "one.*").withColumn("at", F.explode(F.sequence(F.floor(F.col("lo") / size) * size, F.col("hi") - 1, F.lit(size).cast("long"))))
         cut = cut.withColumn("first", F.greatest("at", "lo").cast("int")).withColumn("end", F.least(F.col("at") + size, "hi").cast("int"))
-        raw = F.substring("raw", F.col("first") - F.col("lo") + 1, F.col("end") - F.col("first") - 1 + settings.length)
-        rows = cut.select("anchor", "doc_id", "digest", "pos", F.col("first").alias("lo"), F.col("end").alias("hi"), F.when(F.col("n") > 1, 0).otherwise(F.col("once")).alias("once"), raw.alias("raw"))
+        raw = F.substring("raw", F.col("first") - F.col("lo") + 1, F.col("end") - F.col("first") - 1 + F.col("level"))
+        rows = cut.select("anchor", "level", "doc_id", "digest", "pos", F.col("first").alias("lo"), F.col("end").alias("hi"), F.when(F.col("n") > 1, 0).otherwise(F.col("once")).alias("once"), raw.alias("raw"))
 
 
 def repeats(keyed: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """(doc_id, digest, start, stop): bytes of each text to remove, in stretches that may overlap."""
+    """(doc_id, digest, start, stop, level): stretches of each text that strings of ``level`` bytes which start anywhere
+    else too cover. They may overlap, and what a longer level covers stands for the shorter one as well."""
     spark = keyed.sparkSession
     tasks = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
     every = stored(_anchor_rows(keyed, settings), "anchors")
@@ -291,13 +308,13 @@ def repeats(keyed: DataFrame, settings: Settings = Settings()) -> DataFrame:
     classes = stored(shared.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "digest", "pos", "before", "after")).alias("one")), "classes")
     released(spark)
     copied = shared.join(classes.where("n > 1").select("anchor", "context"), ["anchor", "context"])
-    parts = [copied.select("doc_id", "digest", (F.col("pos") - F.col("before")).alias("start"), (F.col("pos") + F.col("after")).alias("stop"))]
+    parts = [copied.select("doc_id", "digest", (F.col("pos") - F.col("before")).alias("start"), (F.col("pos") + F.col("after")).alias("stop"), F.when(F.col("before") + F.col("after") >= settings.length, settings.length).otherwise(settings.levels[-1]).alias("level"))]
     several = stored(classes.groupBy("anchor").agg(F.count("*").alias("distinct")).where(F.col("distinct") > 1), "several")
     wanted = classes.join(several, "anchor").select("anchor", "one.*", "n", "distinct")
     rows = stored(_contexts(keyed, wanted, settings), "contexts")
     released(spark)
-    parts.append(_sorted_repeats(rows.where("step = 1"), settings, tasks))
-    blocks = rows.where("step <= 0")
+    parts.append(_sorted_repeats(rows.where("level = 0"), settings, tasks))
+    blocks = rows.where("level > 0")
     if not blocks.isEmpty():
         parts += _hashed_repeats(blocks, settings)
     out = parts[0]
@@ -306,28 +323,31 @@ def repeats(keyed: DataFrame, settings: Settings = Settings()) -> DataFrame:
     return out
 
 
-def kept_parts(text: bytes, spans: list[dict] | None) -> tuple[bytes, int, int]:
-    """(remaining bytes, bytes removed, maximal removed runs)."""
-    if not spans:
-        return text, 0, 0
-    kept, end, runs, removed = [], 0, 0, 0
-    for start, stop in sorted((s["start"], s["stop"]) for s in spans):
-        if stop <= end and runs:
-            continue
-        if start > end or not runs:
-            runs += 1
-            kept.append(text[end:start])
-            removed += stop - start
+def runs(spans: list[dict] | None, least: int) -> list[tuple[int, int]]:
+    """The maximal runs (start, stop) that spans of ``least`` bytes' repeats or longer ones' cover."""
+    out: list[tuple[int, int]] = []
+    for start, stop in sorted((s["start"], s["stop"]) for s in spans or () if s["level"] >= least):
+        if out and start <= out[-1][1]:
+            out[-1] = out[-1][0], max(out[-1][1], stop)
         else:
-            removed += stop - end
-        end = stop
-    kept.append(text[end:])
-    return b"".join(kept), removed, runs
+            out.append((start, stop))
+    return out
+
+
+def passages(text: bytes, spans: list[dict] | None, settings: Settings) -> list[tuple[int, int]]:
+    """The maximal runs at the passages' length that hold words enough."""
+    return [(a, b) for a, b in runs(spans, settings.levels[-1]) if len(text[a:b].split()) >= settings.words]
+
+
+def without(text: bytes, gone: list[tuple[int, int]]) -> bytes:
+    """What is left of a text without disjoint runs in order."""
+    ends = [0, *(b for _, b in gone)]
+    return b"".join(text[a:b] for a, b in zip(ends, [*(a for a, _ in gone), len(text)], strict=True))
 
 
 def _with_spans(docs: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame]:
     keyed = _keyed(docs)
-    spans = stored(repeats(keyed, settings).groupBy("doc_id", "digest").agg(F.collect_set(F.struct("start", "stop")).alias("spans")), "spans")
+    spans = stored(repeats(keyed, settings).groupBy("doc_id", "digest").agg(F.collect_set(F.struct("start", "stop", "level")).alias("spans")), "spans")
     released(docs.sparkSession)
     return keyed, spans
 
@@ -337,14 +357,17 @@ def _on_key(a: str, b: str):
 
 
 def suffix_dedup(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for every row of ``docs``.
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passages) for every row of ``docs``.
+
+    The first five columns judge strings of ``length`` bytes; ``n_passages`` counts the maximal runs of the passages'
+    length that hold ``words`` words or more, however short in bytes.
 
     Texts are UTF-8 bytes; a null counts as empty, and texts shorter than the length lose nothing. Strings are judged on
     the input, within one text or across texts, and overlaps count. Repeated rows are each other's repeats, so both
     lose all; a null doc_id stays null; an empty table gives no rows; other columns are never looked at. Very long
     texts are hashed a span at a time.
     """
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passages long"
     keyed, spans = _with_spans(docs, settings)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -352,18 +375,23 @@ def suffix_dedup(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
         for batch in batches:
             rows = []
             for doc_id, text, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                kept, removed, runs = kept_parts(text, found)
-                rows.append((doc_id, len(text), removed, runs, hashlib.sha256(kept).hexdigest()))
-            cols = list(zip(*rows, strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, [pa.int64()] * 4 + [pa.string()], strict=True)], names)
+                gone = runs(found, settings.length)
+                kept = without(text, gone)
+                rows.append((doc_id, len(text), len(text) - len(kept), len(gone), hashlib.sha256(kept).hexdigest(), len(passages(text, found, settings))))
+            cols = list(zip(*rows, strict=True)) or [()] * 6
+            types = [*[pa.int64()] * 4, pa.string(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types, strict=True)], names)
 
     return keyed.alias("k").join(spans.alias("s"), _on_key("k", "s"), "left").select("k.doc_id", "k.raw", "s.spans").mapInArrow(run, schema)
 
 
-def without_repeats(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """The rows of ``docs``, all columns, with repeated bytes cut from ``text`` and ``n_chars``, if there, counted anew.
+def without_passages(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """The rows of ``docs``, all columns, without the bytes of repeated passages in ``text`` and with ``n_chars``, if there,
+    counted anew.
 
-    A character that a cut leaves in part goes with it; null texts stay null.
+    A passage is a maximal run of strings of the passages' length that start anywhere else too, of ``words`` words or
+    more (0: every run). A character that a cut leaves in part goes with it; null texts stay null; an empty table gives
+    no rows; repeated rows lose the same.
     """
     _, spans = _with_spans(docs, settings)
 
@@ -371,13 +399,17 @@ def without_repeats(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     def cut(raw, found):
         import pandas as pd
 
-        return pd.Series([None if t is None else kept_parts(bytes(t), None if s is None else list(s))[0].decode("utf-8", "ignore") for t, s in zip(raw, found, strict=True)])
+        def one(text: bytes, spans) -> str:
+            return without(text, passages(text, list(spans), settings)).decode("utf-8", "ignore")
+
+        return pd.Series([one(bytes(t), s) for t, s in zip(raw, found, strict=True)])
 
     spans = spans.select(F.col("doc_id").alias("_span_id"), F.col("digest").alias("_span_digest"), F.col("spans").alias("_spans"))
     raw = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
     on = F.xxhash64(raw, F.isnull("doc_id")).eqNullSafe(F.col("_span_digest")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_span_id"))
-    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(cut(F.col("text").cast("binary"), F.col("_spans")))
-    out = docs.join(spans, on, "left").withColumn("text", text)
+    met = docs.join(spans, on, "left")
+    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(cut(F.coalesce(F.col("text").cast("binary"), F.lit(b"")), F.coalesce("_spans", F.expr("cast(array() as array<struct<start:bigint,stop:bigint,level:int>>)"))))
+    out = met.withColumn("text", text)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
