@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import time
 import uuid
@@ -15,9 +16,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of the session's ``spark.checkpoint.dir``; a folder of our own only where that is unset."""
+    """The shared folder of the session's ``spark.checkpoint.dir``. Where that is unset, a folder of our own in local mode,
+    which has one machine, and an error on a cluster, whose machines share no such folder."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir is unset: it must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="topicloom-")
         spark.conf.set("spark.checkpoint.dir", root)
         atexit.register(lambda: __import__("shutil").rmtree(root.removeprefix("file://"), ignore_errors=True))
@@ -36,6 +40,7 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     _filesystem(spark, path)[0].deleteOnExit(_filesystem(spark, path)[1])
     read = spark.read.schema(df.schema).parquet(path)
     read._scratch_path = path
+    _tidied(spark)
     return read
 
 
@@ -49,12 +54,21 @@ def dropped(df: DataFrame) -> None:
 
 def released(spark: SparkSession) -> None:
     """Let the context cleaner free the shuffle files of finished stages, which it does after a collection on the driver."""
-    import gc
-
     for _ in range(2):
+        _tidied(spark, 0)
+        time.sleep(0.5)
+
+
+_last_tidied = 0.0
+
+
+def _tidied(spark: SparkSession, every: float = 10.0) -> None:
+    """Collect the driver's garbage, such as that of plans and task reports, every so many seconds at most."""
+    global _last_tidied
+    if time.monotonic() - _last_tidied >= every:
         gc.collect()
         spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
+        _last_tidied = time.monotonic()
 
 
 def _filesystem(spark: SparkSession, path: str):
