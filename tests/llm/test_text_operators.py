@@ -146,44 +146,55 @@ def test_one_row_of_each_simhash_group_stays(spark, docs, rows):
     assert deduplicated(docs.limit(0)).count() == 0
 
 
-def test_katz_equals_brute_force_and_sums_to_one(docs, rows):
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_katz_equals_brute_force_and_sums_to_one(docs, rows, order):
     from topicloom.llm.katz import Settings, good_turing, katz_scores
 
-    uni, bi, hist = collections.Counter(), collections.Counter(), collections.Counter()
     tokens = [(r[1] or "").encode().lower().split() + [b" "] for r in rows]
     held = [r[0] is not None and zlib.crc32(str(r[0]).encode()) % 7 == 2 for r in rows]
+    counts = {k: collections.Counter() for k in range(1, order + 1)}
     for w, h in zip(tokens, held):
-        if not h:
-            uni.update(w), bi.update(zip([None, *w], w)), hist.update([None, *w[:-1]])
+        for k in counts:
+            if not h:
+                counts[k].update(tuple([None] * (k - 1) + w)[i : i + k] for i in range(len(w)))
+    uni = counts[1]
     n, v = sum(uni.values()), len(uni)
 
     def discounts(c):
         of = collections.Counter(c.values())
         return good_turing([of[r] for r in range(7)], 5)
 
-    d1, d2 = discounts(uni), discounts(bi)
-    keep = lambda c, d: c * (d[c] if c <= 5 else 1.0)
-    unknown = 1 - sum(keep(c, d1) for c in uni.values()) / n
-    p1 = lambda w: keep(uni[w], d1) / n if w in uni else unknown
-    kept, seen = collections.Counter(), collections.Counter()
-    for (h, w), c in bi.items():
-        kept[h] += keep(c, d2)
-        seen[h] += p1(w)
+    d = {k: discounts(c) for k, c in counts.items()}
+    keep = lambda c, k: c * (d[k][c] if c <= 5 else 1.0)
+    unknown = 1 - sum(keep(c, 1) for c in uni.values()) / n
+    hist, kept, seen = collections.Counter(), collections.Counter(), collections.Counter()
 
-    def p(h, w):
+    def p(gram):
+        k = len(gram)
+        if k == 1:
+            return keep(uni[gram], 1) / n if gram in uni else unknown
+        h, c = gram[:-1], counts[k][gram]
         if not hist[h]:
-            return p1(w)
+            return p(gram[1:])
         left = 1 - kept[h] / hist[h]
         bare = left <= 1e-12
         left = 1 / (hist[h] + 1) if bare else left
-        return keep(bi[h, w], d2) / (hist[h] + bare) if bi[h, w] else left / (1 - seen[h]) * p1(w)
-
-    assert all(math.isclose(sum(p(h, w) for w in uni) + p(h, b"unseen"), 1, rel_tol=1e-9) for h in [None, *list(uni)[:20]])
-    want = sorted(((str(r[0]), h, len(w), sum(t in uni for t in w), n), sum(math.log10((uni[t] + 1) / (n + v + 1)) for t in w), sum(math.log10(p(a, b)) for a, b in zip([None, *w], w))) for r, w, h in zip(rows, tokens, held))
-    for small in (Settings(), Settings(block_tokens=500, hot=3)):
+        return keep(c, k) / (hist[h] + bare) if c else left / (1 - seen[h]) * p(gram[1:])
+
+    for k in range(2, order + 1):
+        for g, c in counts[k].items():
+            hist[g[:-1]] += c
+            kept[g[:-1]] += keep(c, k)
+            seen[g[:-1]] += p(g[1:])
+    some = [(None,) * (order - 1), *[g[1:] for g in list(counts[order])[:400:20]]]
+    assert all(math.isclose(sum(p((*h, *w)) for w in uni) + p((*h, b"unseen")), 1, rel_tol=1e-9) for h in some)
+    grams = [[tuple([None] * (order - 1) + w)[i : i + order] for i in range(len(w))] for w in tokens]
+    want = sorted(((str(r[0]), h, len(w), sum((t,) in uni for t in w), n), sum(math.log10((uni[(t,)] + 1) / (n + v + 1)) for t in w), sum(math.log10(p(x)) for x in g)) for r, w, h, g in zip(rows, tokens, held, grams))
+    for small in (Settings(order=order), Settings(order=order, block_tokens=500, most=20, slices=3)):
         got = sorted(((str(r["doc_id"]), r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]), r["base_score"], r["score"]) for r in katz_scores(docs, small).collect())
         assert [g[0] for g in got] == [w[0] for w in want]
         assert all(math.isclose(a, b, rel_tol=1e-9) for g, w in zip(got, want) for a, b in zip(g[1:], w[1:]))
+    assert katz_scores(docs.limit(0), Settings(order=order)).count() == 0
 
 
 def test_packing_round_trip(docs, rows):
