@@ -128,10 +128,14 @@ def estimated_notes(spark, sf_dir):
     return tree.estimated_notes(sources.folders(spark, sf_dir), folder_note_counts(spark, sf_dir), _US)
 
 
-@query("SELECT CAST(1 AS BIGINT) AS n_stale, CAST(2 AS BIGINT) AS n_valid")
+@query(f"""WITH f AS ({sql.FOLDERS}), p AS (SELECT 'c' || (o_custkey * 2) AS folder_id FROM orders WHERE o_orderkey % 50 = 0)
+    SELECT count(DISTINCT CASE WHEN f.folder_id IS NULL THEN p.folder_id END) AS n_stale, count(DISTINCT f.folder_id) AS n_valid FROM p LEFT JOIN f USING (folder_id)""")
 def stale_folders(spark, sf_dir):
+    """A filter that names folders of twice the customers' numbers: half of them are gone."""
     f = sources.folders(spark, sf_dir)
-    return spark.createDataFrame([(tree.stale_count(f, _US), tree.valid_count(f, _US))], "n_stale long, n_valid long")
+    picked = _table(spark, sf_dir, "orders").where("o_orderkey % 50 = 0").select(F.concat(F.lit("c"), (F.col("o_custkey") * 2).cast("string")).alias("folder_id")).distinct()
+    flt = FolderFilter("include", tuple(r["folder_id"] for r in picked.collect()))
+    return spark.createDataFrame([(tree.stale_count(f, flt), tree.valid_count(f, flt))], "n_stale long, n_valid long")
 
 
 # ---- text
@@ -308,7 +312,7 @@ def kmeans_update_step(spark, sf_dir):
     SELECT count(*) AS n, round(avg(CASE WHEN greatest(own, other) = 0 THEN 0 ELSE (other - own) / greatest(own, other) END), 6) + 0.0 AS silhouette FROM e""")
 def silhouette_exact(spark, sf_dir):
     points = _vectors(spark, sf_dir).select(F.col("vec_id").alias("note_id"), F.col("label").alias("cluster_id"), "v")
-    return clustering.exact_silhouette(points, vector="v", sampled=None).select("n", _r(F.col("silhouette")).alias("silhouette"))
+    return clustering.exact_silhouette(points, vector="v").select("n", _r(F.col("silhouette")).alias("silhouette"))
 
 
 @query("SELECT CAST(i AS INTEGER) AS cluster_id, count(label) AS size FROM (SELECT unnest(range((SELECT max(label) FROM embeddings) + 1)) AS i) LEFT JOIN embeddings ON label = i AND vec_id % 3 <> 0 GROUP BY 1")
@@ -352,22 +356,25 @@ def umap_project(spark, sf_dir):
 @query(f"WITH {sql.GRAMS}, {sql.IDF} SELECT ngram, df, round(idf, 6) + 0.0 AS idf FROM idf")
 def corpus_idf(spark, sf_dir):
     n = _notes(spark, sf_dir)
-    return tfidf.idf(tfidf.corpus_ngrams(n), n.count()).select("ngram", "df", _r(F.col("idf")).alias("idf"))
+    return tfidf.idf(tfidf.note_ngrams(tfidf.corpus_ngrams(n)), n.count()).select("ngram", "df", _r(F.col("idf")).alias("idf"))
+
+
+def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tfidf.cluster_counts(tfidf.note_ngrams(tfidf.corpus_ngrams(_notes(spark, sf_dir))), _clustered(spark, sf_dir))
 
 
 @query(sql.labelled() + "SELECT cluster_id, ngram, tf, n_docs, in_title FROM tf")
 def cluster_tf(spark, sf_dir):
-    return tfidf.cluster_counts(tfidf.corpus_ngrams(_notes(spark, sf_dir)), _clustered(spark, sf_dir)).select("cluster_id", "ngram", "tf", "n_docs", "in_title")
+    return _counts(spark, sf_dir).select("cluster_id", "ngram", "tf", "n_docs", "in_title")
 
 
 @query(sql.labelled() + f"SELECT cluster_id, ngram, tf, CAST(tf_rank AS INTEGER) AS tf_rank FROM totals WHERE tf_rank <= {tfidf.KEPT}")
 def cluster_top100(spark, sf_dir):
-    counts = tfidf.cluster_counts(tfidf.corpus_ngrams(_notes(spark, sf_dir)), _clustered(spark, sf_dir))
-    return tfidf.most_frequent(counts).select("cluster_id", "ngram", "tf", "tf_rank")
+    return tfidf.most_frequent(_counts(spark, sf_dir)).select("cluster_id", "ngram", "tf", "tf_rank")
 
 
 def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tfidf.scores(_notes(spark, sf_dir), _clustered(spark, sf_dir))
+    return tfidf.note_scores(_notes(spark, sf_dir), _clustered(spark, sf_dir))
 
 
 @query(sql.labelled() + "SELECT cluster_id, ngram, round(score, 9) + 0.0 AS score, CAST(rank AS INTEGER) AS rank FROM scores")
@@ -453,8 +460,7 @@ def undo_roundtrip(spark, sf_dir):
     after = applying.undo(during, log)
     out = None
     for what in ("notes", "folders", "tags", "note_tags"):
-        a, b = getattr(before, what), getattr(after, what)
-        n = a.exceptAll(b.select(*a.columns)).unionByName(b.select(*a.columns).exceptAll(a)).agg(F.count("*").alias("differing")).select(F.lit(what).alias("what"), "differing")
+        n = applying.differing(getattr(before, what), getattr(after, what)).select(F.lit(what).alias("what"), "differing")
         out = n if out is None else out.unionByName(n)
     return out
 

@@ -61,14 +61,59 @@ def singularize(w: Column) -> Column:
     )
 
 
+def _bare(c: Column) -> Column:
+    """Cleaned text in lower case, without apostrophes."""
+    return F.regexp_replace(F.lower(clean_text(c)), "['’]", "")
+
+
 def raw_tokens(c: Column) -> Column:
-    return F.regexp_extract_all(F.regexp_replace(F.lower(clean_text(c)), "['’]", ""), F.lit("[a-z]+"), F.lit(0))
+    return F.regexp_extract_all(_bare(c), F.lit("[a-z]+"), F.lit(0))
+
+
+def _any_of(listed) -> str:
+    """A pattern of whole words, by their first letters."""
+    by: dict[str, list[str]] = {}
+    for w in sorted(set(listed)):
+        by.setdefault(w[0], []).append(w[1:])
+    return "|".join(f"{first}(?:{'|'.join(sorted(rest, reverse=True))})" for first, rest in by.items())
+
+
+def _singular_line(line: Column) -> Column:
+    """``singularize`` of every word of a line of words in lower case with single spaces between."""
+    but = rf"(?<!\b(?:{'|'.join(words.SINGULAR_EXCEPTIONS)}))"
+    for pattern, by in (
+        (rf"ies\b(?<=[a-z]ies){but}", "y"),
+        (rf"es\b(?<=(?:ss|ch|sh|[a-z]x|[a-z]z)es){but}", ""),
+        (rf"s\b(?<=[a-z]{{3}}s)(?<![uias]s){but}", ""),
+    ):
+        line = F.regexp_replace(line, pattern, by)
+    return line
 
 
 def tokenize(c: Column, stop: tuple[str, ...] | None = None) -> Column:
-    """Singular words of three letters or more that are no stop words, in order."""
+    """Singular words of three letters or more that are no stop words, in order.
+
+    Words stay one line of text until the last step: replacing patterns in it is compiled code, where functions of each
+    word would be interpreted.
+    """
     stop = words.stop_words() if stop is None else stop
-    return F.filter(F.transform(raw_tokens(c), singularize), lambda w: (F.length(w) >= 3) & ~w.isin(*stop))
+    line = _singular_line(F.trim(F.regexp_replace(_bare(c), "[^a-z]+", " ")))
+    dropped = r"\b(?:[a-z]{1,2}" + (f"|{_any_of(stop)}" if stop else "") + r")(?: |$)"
+    return F.array_remove(F.split(F.regexp_replace(line, dropped, ""), " "), "")
+
+
+def grams_by_length(tokens: Column, longest: int = 3) -> Column:
+    """Per length n from 1 on, the n-grams at each position; null where a word stands beside itself."""
+    out = [tokens]
+    ahead = tokens
+    for n in range(2, longest + 1):
+        rest = F.greatest(F.size(tokens) - n + 1, F.lit(0))
+        ahead = F.slice(ahead, F.lit(1), rest)  # (n-1)-grams that a word follows
+        last, one_before = F.slice(tokens, F.lit(n), rest), F.slice(tokens, F.lit(n - 1), rest)
+        follows = F.zip_with(one_before, last, lambda a, b: F.when(a != b, b))
+        ahead = F.zip_with(ahead, follows, lambda g, w: F.concat(g, F.lit(" "), w))
+        out.append(ahead)
+    return F.array(*out)
 
 
 def ngrams(tokens: Column, longest: int = 3) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from topicloom.functions import text
+from topicloom.storage import stored
 
 
 @dataclass(frozen=True)
@@ -121,21 +122,21 @@ def apply(state: State, assigned: DataFrame, clusters: DataFrame, method: str =
     made_tags = spark.createDataFrame([], "tag_id string")
     links, moves = none, spark.createDataFrame([], "note_id string, target string")
     if method != "notebooks":
-        plan = planned_tags(state.notes, assigned, clusters).persist()  # kept: every table of the result asks for them
-        ids = tags_for(state.tags, plan.select("title")).persist()
+        plan = stored(planned_tags(state.notes, assigned, clusters), "planned-tags")  # every table of the result asks for them
+        ids = stored(tags_for(state.tags, plan.select("title")), "tags")
         wanted = plan.select("note_id", F.lower("title").alias("title_key")).join(ids, "title_key").select("note_id", "tag_id").distinct()
-        new = wanted.join(state.note_tags, ["note_id", "tag_id"], "left_anti").persist()
+        new = stored(wanted.join(state.note_tags, ["note_id", "tag_id"], "left_anti"), "new-tags")
         made_tags = ids.where("created").select("tag_id")
         after = replace(after, tags=state.tags.unionByName(ids.where("created").select("tag_id", "title")), note_tags=state.note_tags.unionByName(new))
         links = new.groupBy("note_id").agg(F.array_sort(F.collect_set("tag_id")).alias("_tags"))
     if method != "tags":
-        moves, homes = (t.persist() for t in planned_moves(state, assigned, clusters, parent))
+        moves, homes = (stored(t, "moves") for t in planned_moves(state, assigned, clusters, parent))
         created = homes.where("created").dropDuplicates(["folder_id"])
         made_folders = created.select("folder_id")
-        moved = state.notes.join(moves, "note_id", "left").withColumn("parent_id", F.coalesce("target", "parent_id")).drop("target").persist()
+        moved = state.notes.join(moves, "note_id", "left").withColumn("parent_id", F.coalesce("target", "parent_id")).drop("target")
         folders = state.folders.unionByName(created.select("folder_id", "title", "parent_id"))
         left = state.notes.join(moves, "note_id", "left_semi").select(F.col("parent_id").alias("folder_id")).distinct()
-        gone = empty_folders(folders, moved).join(left, "folder_id", "left_semi").select("folder_id")
+        gone = stored(empty_folders(folders, moved).join(left, "folder_id", "left_semi").select("folder_id"), "gone-folders")
         after = replace(after, notes=moved, folders=folders.join(gone, "folder_id", "left_anti"))
     home = state.folders.select(F.col("folder_id").alias("_home"), F.col("title").alias("_home_title"), F.col("parent_id").alias("_home_parent"))
     touched = state.notes.select("note_id", "parent_id").join(links, "note_id", "left").join(moves, "note_id", "left").where("_tags is not null or target is not null")
@@ -145,7 +146,7 @@ def apply(state: State, assigned: DataFrame, clusters: DataFrame, method: str =
         "note_id", F.when(is_move, F.col("parent_id")).alias("original_parent_id"), F.when(is_move, F.col("_home_title")).alias("original_parent_title"),
         F.when(is_move, F.col("_home_parent")).alias("original_grandparent_id"), F.coalesce("_tags", F.array().cast("array<string>")).alias("added_tag_ids"),
     )
-    return after, ChangeLog(method, timestamp, log.persist(), made_folders, made_tags)
+    return after, ChangeLog(method, timestamp, stored(log, "change-log"), made_folders, made_tags)
 
 
 def undo(state: State, log: ChangeLog | None) -> State:
@@ -158,9 +159,16 @@ def undo(state: State, log: ChangeLog | None) -> State:
     made = lost.groupBy("original_parent_id").agg(F.min("original_parent_title").alias("title"), F.min("original_grandparent_id").alias("parent_id"))
     known = state.folders.select(F.col("folder_id").alias("_up"))
     made = made.join(known, F.col("parent_id") == F.col("_up"), "left").select(F.col("original_parent_id").alias("folder_id"), F.coalesce("title", F.lit("Restored")).alias("title"), F.when(F.col("_up").isNotNull() | (F.col("parent_id") == ""), F.col("parent_id")).otherwise(F.lit("")).alias("parent_id"))
-    notes = state.notes.join(back.select("note_id", "original_parent_id"), "note_id", "left").withColumn("parent_id", F.coalesce("original_parent_id", "parent_id")).drop("original_parent_id").persist()
+    notes = state.notes.join(back.select("note_id", "original_parent_id"), "note_id", "left").withColumn("parent_id", F.coalesce("original_parent_id", "parent_id")).drop("original_parent_id")
     folders = state.folders.unionByName(made)
     gone = empty_folders(folders, notes).join(log.created_folders, "folder_id", "left_semi").select("folder_id")
     added = log.notes.select("note_id", F.explode("added_tag_ids").alias("tag_id"))
     links = state.note_tags.join(added, ["note_id", "tag_id"], "left_anti").join(log.created_tags, "tag_id", "left_anti").select(*state.note_tags.columns)
     return State(notes.select(*state.notes.columns), folders.join(gone, "folder_id", "left_anti"), state.tags.join(log.created_tags, "tag_id", "left_anti"), links)
+
+
+def differing(a: DataFrame, b: DataFrame) -> DataFrame:
+    """One row (differing): rows that one table has oftener than the other, told by a hash of all columns of ``a``."""
+    sides = [t.select(F.xxhash64(*a.columns, *(F.col(c).isNull() for c in a.columns)).alias("row"), F.lit(n).alias("n")) for t, n in ((a, 1), (b, -1))]
+    rows = sides[0].unionByName(sides[1]).groupBy("row").agg(F.sum("n").alias("n"))
+    return rows.agg(F.coalesce(F.sum(F.abs("n")), F.lit(0)).cast("long").alias("differing"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from topicloom.functions import text
+from topicloom.storage import stored
 
 TITLE_WEIGHT = 5
 BODY_CHARS = 3000
@@ -15,35 +16,46 @@ KEPT = 100  # most frequent n-grams of a cluster that are scored
 
 def corpus_ngrams(notes: DataFrame, body_chars: int | None = BODY_CHARS, body_longest: int = 2) -> DataFrame:
     """(note_id, note_idx, in_title, pos, ngram) of notes (note_id, note_idx, title, body): titles up to trigrams, bodies
-    up to bigrams of their first characters. No shuffle: n-grams are made inside each row."""
+    up to bigrams of their first characters; ``pos`` orders by segment, word and length. No shuffle: n-grams are made
+    inside each row, a segment at a time, so that text goes through compiled code.
+    """
     body = F.substring("body", 1, body_chars) if body_chars is not None else F.col("body")
-    each = F.array(
-        F.struct(F.lit(True).alias("in_title"), text.segment_ngrams(F.col("title"), 3).alias("grams")),
-        F.struct(F.lit(False).alias("in_title"), text.segment_ngrams(body, body_longest).alias("grams")),
-    )
-    parts = notes.select("note_id", "note_idx", F.explode(each).alias("p")).select("note_id", "note_idx", "p.in_title", F.posexplode("p.grams").alias("pos", "ngram"))
-    return parts.select("note_id", "note_idx", "in_title", "pos", "ngram")
+    parts = F.array(F.struct(F.lit(True).alias("in_title"), text.segments(F.col("title")).alias("s")), F.struct(F.lit(False).alias("in_title"), text.segments(body).alias("s")))
+    each = notes.select("note_id", "note_idx", F.explode(parts).alias("p")).select("note_id", "note_idx", "p.in_title", F.posexplode("p.s").alias("seg", "s"))
+    tokens = each.select("note_id", "note_idx", "in_title", "seg", text.tokenize(F.col("s")).alias("t")).where(F.size("t") > 0)
+    longest = max(3, body_longest)
+    grams = text.grams_by_length(F.col("t"), longest)
+    if body_longest < longest:
+        grams = F.slice(grams, F.lit(1), F.when(F.col("in_title"), longest).otherwise(body_longest))
+    by_length = tokens.select("note_id", "note_idx", "in_title", "seg", F.posexplode(grams).alias("n", "g"))
+    out = by_length.select("note_id", "note_idx", "in_title", "seg", "n", F.posexplode("g").alias("i", "ngram")).where("ngram is not null")
+    return out.select("note_id", "note_idx", "in_title", F.struct("seg", "i", "n").alias("pos"), "ngram")
+
+
+def note_ngrams(grams: DataFrame) -> DataFrame:
+    """(note_id, ngram, tf, in_title, first): each note's n-grams, titles counted 5-fold.
+
+    ``first`` orders n-grams by their first occurrence: by note, title before body, position. This is what documents'
+    frequencies and clusters' counts are both made of; stored once, it saves going over the texts again.
+    """
+    first = F.min(F.struct("note_idx", (~F.col("in_title")).alias("body"), "pos"))
+    return grams.groupBy("note_id", "ngram").agg(F.sum(F.when(F.col("in_title"), TITLE_WEIGHT).otherwise(1)).alias("tf"), F.max("in_title").alias("in_title"), first.alias("first"))
 
 
-def idf(grams: DataFrame, n_notes: int | DataFrame) -> DataFrame:
-    """(ngram, df, idf): ln(N / df) + 1, or 0 for n-grams of more than ``COMMON`` of all notes."""
-    counted = grams.groupBy("ngram").agg(F.countDistinct("note_id").alias("df"))
+def idf(counted: DataFrame, n_notes: int) -> DataFrame:
+    """(ngram, df, idf) of ``note_ngrams``: ln(N / df) + 1, or 0 for n-grams of more than ``COMMON`` of all notes."""
     n = F.lit(n_notes)
-    return counted.withColumn("idf", F.when(F.col("df") / n > COMMON, 0.0).otherwise(F.log(n / F.col("df")) + 1))
+    df = counted.groupBy("ngram").agg(F.count("*").alias("df"))
+    return df.withColumn("idf", F.when(F.col("df") / n > COMMON, 0.0).otherwise(F.log(n / F.col("df")) + 1))
 
 
-def cluster_counts(grams: DataFrame, assigned: DataFrame) -> DataFrame:
-    """(cluster_id, ngram, tf, n_docs, in_title, first) and tf's share of the cluster's total, titles counted 5-fold.
+def cluster_counts(counted: DataFrame, assigned: DataFrame) -> DataFrame:
+    """(cluster_id, ngram, tf, n_docs, in_title, first) of ``note_ngrams``, and the cluster's total of tf.
 
-    ``first`` orders n-grams by their first occurrence: by note, title before body, position. Counting goes by
-    (cluster, n-gram) at once, so a large cluster is spread over all tasks.
+    Counting goes by (cluster, n-gram) at once, so a large cluster is spread over all tasks.
     """
-    met = grams.join(assigned.where("cluster_id >= 0").select("note_id", "cluster_id"), "note_id")
-    first = F.min(F.struct("note_idx", (~F.col("in_title")).alias("body"), "pos"))
-    per_note = met.groupBy("cluster_id", "ngram", "note_id").agg(
-        F.sum(F.when(F.col("in_title"), TITLE_WEIGHT).otherwise(1)).alias("tf"), F.max("in_title").alias("in_title"), first.alias("first")
-    )
-    per = per_note.groupBy("cluster_id", "ngram").agg(F.sum("tf").alias("tf"), F.count("*").alias("n_docs"), F.max("in_title").alias("in_title"), F.min("first").alias("first"))
+    met = counted.join(assigned.where("cluster_id >= 0").select("note_id", "cluster_id"), "note_id")
+    per = met.groupBy("cluster_id", "ngram").agg(F.sum("tf").alias("tf"), F.count("*").alias("n_docs"), F.max("in_title").alias("in_title"), F.min("first").alias("first"))
     total = per.groupBy("cluster_id").agg(F.sum("tf").alias("total"))
     return per.join(total, "cluster_id")
 
@@ -54,21 +66,20 @@ def most_frequent(counts: DataFrame, kept: int = KEPT) -> DataFrame:
     return counts.withColumn("tf_rank", F.row_number().over(place)).where(F.col("tf_rank") <= kept)
 
 
-def scores(notes: DataFrame, assigned: DataFrame, kept: int | None = KEPT, grams: DataFrame | None = None, corpus: DataFrame | None = None) -> DataFrame:
+def scores(n_notes: int, counted: DataFrame, assigned: DataFrame, kept: int | None = KEPT, corpus: DataFrame | None = None) -> DataFrame:
     """(cluster_id, ngram, score, rank): tf * idf * share of the cluster's notes * length factor * title factor.
 
-    ``corpus`` gives document frequencies when ``grams`` are made by other rules, as in the variant without caps.
+    ``counted`` are ``note_ngrams``, best stored; ``corpus`` are those that give document frequencies, where they are
+    made by other rules, as in the variant without caps.
     """
-    grams = corpus_ngrams(notes) if grams is None else grams
-    counts = cluster_counts(grams, assigned)
+    counts = stored(cluster_counts(counted, assigned), "cluster-counts")
     if kept is not None:
-        pruned = most_frequent(counts, kept)
         many = counts.groupBy("cluster_id").agg((F.count("*") > kept).alias("many"))
-        counts = pruned.join(many, "cluster_id")
+        counts = most_frequent(counts, kept).join(F.broadcast(many), "cluster_id")  # a row per cluster
     else:
         counts = counts.withColumn("many", F.lit(False)).withColumn("tf_rank", F.lit(0))
     size = assigned.where("cluster_id >= 0").groupBy("cluster_id").agg(F.count("*").alias("size"))
-    known = idf(grams if corpus is None else corpus, notes.count())
+    known = idf(counted if corpus is None else corpus, n_notes)
     n_words = F.size(F.split("ngram", " "))
     length = F.when(n_words == 1, F.when(F.length("ngram") <= 4, 0.5).otherwise(1.0)).when(n_words == 2, 1.5).otherwise(2.0)
     score = F.col("tf") / F.col("total") * F.col("idf") * (F.col("n_docs") / F.col("size")) * length * F.when(F.col("in_title"), 1.5).otherwise(1.0)
@@ -77,6 +88,12 @@ def scores(notes: DataFrame, assigned: DataFrame, kept: int | None = KEPT, grams
     return out.withColumn("rank", F.row_number().over(place)).select("cluster_id", "ngram", "score", "rank")
 
 
+def note_scores(notes: DataFrame, assigned: DataFrame) -> DataFrame:
+    """``scores`` of notes, stored: labels read them several times."""
+    return stored(scores(notes.count(), stored(note_ngrams(corpus_ngrams(notes)), "note-ngrams"), assigned), "scores")
+
+
 def full_scores(notes: DataFrame, assigned: DataFrame) -> DataFrame:
     """The variant over whole bodies, with trigrams there too and without the cap on n-grams."""
-    return scores(notes, assigned, None, corpus_ngrams(notes, None, 3), corpus_ngrams(notes))
+    counted, corpus = (stored(note_ngrams(g), "note-ngrams") for g in (corpus_ngrams(notes, None, 3), corpus_ngrams(notes)))
+    return stored(scores(notes.count(), counted, assigned, None, corpus), "scores")

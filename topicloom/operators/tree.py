@@ -7,6 +7,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from topicloom.storage import stored
+
 
 @dataclass(frozen=True)
 class FolderFilter:
@@ -44,17 +46,14 @@ def children_map(folders: DataFrame, order: str = "folder_id") -> DataFrame:
 def _closure(edges: DataFrame, start: DataFrame) -> DataFrame:
     """Nodes reachable from ``start(folder_id)`` over ``edges(from, to)``, itself included.
 
-    A level of the tree is one join; nodes seen before are left out, so a cycle ends. Levels are checkpointed in the
-    shared folder, which keeps plans short however deep a tree is.
+    A level of the tree is one join; nodes seen before are left out, so a cycle ends. Levels are stored in the shared
+    folder, which keeps plans short however deep a tree is.
     """
-    spark = start.sparkSession
-    lazily = bool(spark.conf.get("spark.checkpoint.dir", None))
     visited = start.select("folder_id").distinct()
     frontier = visited
     while True:
         met = frontier.join(edges, frontier["folder_id"] == edges["from"]).select(F.col("to").alias("folder_id")).distinct()
-        frontier = met.join(visited, "folder_id", "left_anti")
-        frontier = frontier.checkpoint() if lazily else frontier.cache()
+        frontier = stored(met.join(visited, "folder_id", "left_anti"), "level")
         if frontier.isEmpty():
             return visited
         visited = visited.unionByName(frontier)

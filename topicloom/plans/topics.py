@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from topicloom.functions import embed, text, vectors
 from topicloom.operators import cache as caching
 from topicloom.operators import clustering, labels, tfidf
+from topicloom.storage import stored
 
 LEAST_NOTES = 3
 
@@ -55,20 +56,22 @@ def run(notes: DataFrame, note_vectors: DataFrame, ask: Callable | None = None,
     ids, order = rows.column("note_id").to_pylist(), rows.column("note_idx").to_pylist()
     results = clustering.benchmark(spark, x, config)
     found = [(r.strategy.name, i, o, int(c)) for r in results for i, o, c in zip(ids, order, r.labels.tolist(), strict=True)]
-    assignments = spark.createDataFrame(found, "strategy string, note_id string, note_idx long, cluster_id int")
+    assignments = stored(spark.createDataFrame(found, "strategy string, note_id string, note_idx long, cluster_id int"), "assignments")
     summary = clustering.comparison(spark, results)
     names = [r.strategy.name for r in results]
     texts = notes.withColumn("note_id", F.col("note_id").cast("string"))
-    grams = tfidf.corpus_ngrams(texts.join(met.select(F.col("note_id").cast("string").alias("note_id")), "note_id", "left_semi")).persist()
+    clustered = texts.join(met.select(F.col("note_id").cast("string").alias("note_id")), "note_id", "left_semi")
+    grams = stored(tfidf.note_ngrams(tfidf.corpus_ngrams(clustered)), "note-ngrams")
     clusters = None
     for name in names:
         own = assignments.where(F.col("strategy") == name)
-        scored = tfidf.scores(texts, own, grams=grams)
+        scored = stored(tfidf.scores(n, grams, own), "scores")
         ids = own.where("cluster_id >= 0").select("cluster_id").distinct()
         tagged = labels.tags(scored, top_tags)
         named = labels.told_apart(labels.names(scored, ids), scored)
         named = labels.renamed_by(named, labels.sample_titles(texts, own), tagged, ask)
         sized = own.groupBy("cluster_id").agg(F.count("*").alias("size"))
+        named = stored(named, "named")
         part = named.join(tagged, "cluster_id", "left").join(sized, "cluster_id").select(F.lit(name).alias("strategy"), "cluster_id", "size", "name", "tags")
         clusters = part if clusters is None else clusters.unionByName(part)
     return Topics(summary, assignments, clusters)
