@@ -146,7 +146,7 @@ def test_one_row_of_each_simhash_group_stays(spark, docs, rows):
     assert deduplicated(docs.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("order", [1, 2, 3, 4])
+@pytest.mark.parametrize("order", [2, 3])
 def test_katz_equals_brute_force_and_sums_to_one(docs, rows, order):
     from topicloom.llm.katz import Settings, good_turing, katz_scores
 

@@ -29,14 +29,14 @@ from topicloom.llm.common import dropped, released, shuffle_partitions, stored
 
 @dataclass(frozen=True)
 class Settings:
-    order: int = 3
+    order: int = 2
     folds: int = 7  # rows whose crc32 of the id leaves ``held`` are scored, not learnt from
     held: int = 2
     cutoff: int = 5  # largest count that is discounted
     block_tokens: int = 1_000_000  # of a block of texts, and of a bucket on average
     most: int = 250_000  # occurrences of a history that one bucket takes
     hot: int = 65_536  # spread histories of each order at most, the most frequent: what the driver holds of them is bounded
-    slices: int = 2  # of the buckets, dealt out one after another: that much less is shuffled at a time
+    slices: int = 1  # of the buckets, dealt out one after another: that much less is shuffled at a time
 
 
 END = b" "  # no word holds a space
@@ -47,19 +47,25 @@ _TABLE_ARROW = pa.schema([("kind", pa.int32()), ("part", pa.int32()), *((c, pa.b
 
 
 def pack(values: np.ndarray) -> bytes:
-    """A numeric array's bytes, one plane of each byte of its numbers after another, compressed."""
+    """A numeric array's bytes, one plane of each byte of its numbers after another, compressed. Of integers only the
+    planes up to the largest number's last byte are kept; their number comes first."""
     import zstandard
 
-    planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.itemsize).T
-    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+    width = values.itemsize
+    if values.dtype.kind in "iu" and len(values) and values.min() >= 0:
+        width = max(1, -(-int(values.max()).bit_length() // 8))
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.itemsize)[:, :width].T
+    return bytes([width]) + zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes))
 
 
 def unpack(raw: bytes, dtype) -> np.ndarray:
     import zstandard
 
-    size = np.dtype(dtype).itemsize
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8)
-    return np.ascontiguousarray(planes.reshape(size, -1).T).view(dtype).ravel()
+    width, size = raw[0], np.dtype(dtype).itemsize
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw[1:]), np.uint8).reshape(width, -1)
+    out = np.zeros((planes.shape[1], size), np.uint8)
+    out[:, :width] = planes.T
+    return out.view(dtype).ravel()
 
 
 def _rows(rows: list[tuple], schema: pa.Schema = _PARTS_ARROW) -> pa.RecordBatch:
@@ -308,10 +314,11 @@ class _Block:
 
     def __post_init__(self):
         self.firsts = np.cumsum(self.lengths) - self.lengths
-        self.p = self.words.by_step[self.words.step(self.tokens)]
+        self.step = self.words.step(self.tokens)
+        self.p = self.words.by_step[self.step]
         self.order = 1
         s = self.settings
-        self.spread = spread_of(self.words.counts[self.words.step(self.tokens)], s.most)  # of each token's word as a history
+        self.spread = spread_of(self.words.counts, s.most)[self.step]  # of each token's word as a history
         self.spread[self.tokens >= s.hot] = 1
 
     def deal(self) -> None:
@@ -538,8 +545,7 @@ def katz_scores(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
         for _, group in _by_key(batches, "block"):
             ids = unpack(next(r["a"] for r in group if r["kind"] == 1), np.int64)
             block = _of_group(group, settings.order, words, settings, buckets)
-            step = words.step(block.tokens)
-            per_text = [np.add.reduceat(v, block.firsts) for v in (words.counts[step] > 0, words.base_by_step[step], np.log10(block.p))]
+            per_text = [np.add.reduceat(v, block.firsts) for v in (words.counts[block.step] > 0, words.base_by_step[block.step], np.log10(block.p))]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, mask=block.flags >> 1 > 0), pa.array(block.flags & 1 > 0), pa.array(block.lengths), pa.array(per_text[0].astype(np.int64)), pa.array(np.full(len(ids), words.total)), pa.array(per_text[1]), pa.array(per_text[2])],
                 ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
