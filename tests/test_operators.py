@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from topicloom.operators import apply as applying
-from topicloom.operators import cache, clustering, labels, results, tree
+from topicloom.operators import cache, clustering, fits, labels, results, tree
 from topicloom.operators.tree import FolderFilter
 
 
@@ -39,36 +39,83 @@ def test_ranges():
     assert clustering.neighbours_for(float("nan")) == 5
 
 
+def table_of(spark, x):
+    return spark.createDataFrame([(k, k, v.tolist()) for k, v in enumerate(x)], "note_id long, note_idx long, vector array<double>").repartition(3)
+
+
+def labels_of(df):
+    return [r["cluster_id"] for r in df.orderBy("note_idx").collect()]
+
+
 def test_clusters_of_blobs(spark):
     rng = np.random.default_rng(0)
     x = np.concatenate([rng.normal(c, 1, (10, 2)) for c in (0, 100, 200)])
-    k, score, found = clustering.sweep_k(spark, x)
+    k, score, found = fits.sweep_k(table_of(spark, x))
+    found = labels_of(found)
     assert k == 3 and score > 0.9 and len(set(found[:10])) == 1
+    assert found == clustering.seeded_kmeans(x, 3, seed=45).tolist() and score == pytest.approx(clustering.silhouette(x, found))
     assert clustering.silhouette(x, np.zeros(30)) == 0 and len(set(clustering.hdbscan(x, 5).tolist()) - {-1}) == 3
     assert (clustering.seeded_kmeans(x, 40) == np.arange(30)).all() and (clustering.hdbscan(x[:4], 5) == -1).all()
     y = clustering.umap(x, 2, 5, metric="euclidean")
     assert np.array_equal(y, clustering.umap(x, 2, 5, metric="euclidean")) and clustering.silhouette(y, np.repeat([0, 1, 2], 10)) > 0.5
+    assert fits.sweep_k(table_of(spark, np.ones((10, 2))))[:2] == (1, 0.0)
     with pytest.raises(ValueError):
         clustering.seeded_kmeans(x[:0], 3)
 
 
-def test_strategies_do_not_change_with_the_number_of_notes(spark, monkeypatch):
+def test_tables_equal_the_fits_in_memory(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(60, 3)) + np.repeat(rng.normal(0, 3, (6, 3)), 10, 0)
+    points = table_of(spark, x)
+    found = fits.kmeans(points, 60, [2, 5, 9])
+    for k, (centres, sizes) in found.items():
+        want = clustering.seeded_kmeans(x, k, seed=42 + k)
+        assert labels_of(fits.labelled(points, centres)) == want.tolist() and sizes.tolist() == np.bincount(want, minlength=k).tolist()
+    scores = {r["k"]: r["score"] for r in fits.silhouettes(points, 60, found).collect()}
+    assert scores == {k: pytest.approx(clustering.silhouette(x, clustering.seeded_kmeans(x, k, seed=42 + k))) for k in found}
+    assert labels_of(fits.hdbscan(points, 5, metric="cosine")) == clustering.hdbscan(x, 5, metric="cosine").tolist()
+    laid = np.array([r["vector"] for r in fits.umap(points, 2, 5).orderBy("note_idx").collect()])
+    assert np.allclose(laid, clustering.umap(x, 2, 5))
+
+
+def test_points_beyond_the_fit_get_labels_and_places(spark, monkeypatch):
+    from topicloom.plans import topics
+
+    monkeypatch.setattr(fits, "FIT_POINTS", 50)
+    monkeypatch.setattr(clustering, "SILHOUETTE_SAMPLE", 40)
+    rng = np.random.default_rng(0)
+    truth = np.arange(150) % 3
+    x = rng.normal(0, 1, (150, 3)) + np.array([[0, 0, 0], [50, 0, 0], [0, 50, 0]])[truth]
+    points = table_of(spark, x)
+    k, score, found = fits.sweep_k(points)
+    assert k == 3 and score > 0.9 and len(set(zip(labels_of(found), truth.tolist()))) == 3
+    got = np.array(labels_of(fits.hdbscan(points, 5)))
+    assert (got >= 0).mean() > 0.7 and len(set(zip(got[got >= 0].tolist(), truth[got >= 0].tolist()))) == 3
+    laid = np.array([r["vector"] for r in fits.umap(points, 2, 5, metric="euclidean").orderBy("note_idx").collect()])
+    assert laid.shape == (150, 2) and clustering.silhouette_of_all(laid, truth) > 0.5
+    config = clustering.Config(metric="euclidean", dimensions=None, strategies=(*clustering.config_for(150).strategies, clustering.Strategy("three", "kmeans", 3), clustering.Strategy("none", "other")))
+    results = topics.benchmark(points, config)
+    assert {(r.strategy.name, r.clusters) for r in results} == {("kmeans-auto", 3), ("hdbscan", 3), ("three", 3)}
+    assert all(r.score > 0.9 for r in results) and {r.labels.count() for r in results} == {150}
+
+
+def test_topics_of_notes(spark):
     from topicloom.plans import topics
 
-    monkeypatch.setattr(clustering, "SWEEP_POINTS", 20, raising=False)  # the bound that there was
     rng = np.random.default_rng(0)
     x = np.concatenate([rng.normal(c, 1, (10, 3)) for c in (0, 50, 100)])
-    notes = spark.createDataFrame([(str(k), k, f"title {k}", "some words of a body") for k in range(30)], "note_id string, note_idx long, title string, body string")
+    subject = ["sourdough bread", "docker image", "mountain hike"]
+    notes = spark.createDataFrame([(str(k), k, f"{subject[k // 10]} {'abc'[k % 3]}", f"words on {subject[k // 10]}, and more.") for k in range(30)], "note_id string, note_idx long, title string, body string")
     points = spark.createDataFrame([(str(k), v.tolist()) for k, v in enumerate(x)], "note_id string, vector array<double>")
     config = clustering.Config(metric="euclidean", dimensions=None, strategies=clustering.config_for(30).strategies)
-    found = {r["strategy"]: r["clusters"] for r in topics.run(notes, points, config=config).summary.collect()}
-    assert found == {"kmeans-auto": 3, "hdbscan": 3}
-    many = spark.range(20_001).selectExpr("id AS note_id", "array(CAST(id AS double), 1.0D) AS vector")
-    assert topics.matrix(many)[:, 0].tolist() == list(range(20_001))
-    y = rng.normal(size=(60, 3))
-    whole = clustering.hdbscan(y, 5), clustering.umap(y, 2, 5)
-    monkeypatch.setattr(clustering, "BLOCK_DISTANCES", 60 * 7)
-    assert (clustering.hdbscan(y, 5) == whole[0]).all() and np.allclose(clustering.umap(y, 2, 5), whole[1])
+    asked = []
+    got = topics.run(notes, points, lambda prompt: asked.append(prompt) or '{"0": "A", "1": "B", "2": "C"}', config=config)
+    assert {r["strategy"]: r["clusters"] for r in got.summary.collect()} == {"kmeans-auto": 3, "hdbscan": 3} and len(asked) == 2
+    rows = got.clusters.collect()
+    assert len(rows) == 6 and {r["name"] for r in rows} == {"A", "B", "C"} and all(r["size"] == 10 and r["tags"] for r in rows)
+    assert got.assignments.count() == 60
+    with pytest.raises(ValueError):
+        topics.run(notes.limit(2), points)
 
 
 def test_labels(spark):

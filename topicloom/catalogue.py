@@ -14,10 +14,11 @@ from pyspark.sql import functions as F
 from topicloom import oracle as sql
 from topicloom.functions import text, vectors
 from topicloom.operators import apply as applying
-from topicloom.operators import cache, clustering, labels, results, tfidf, tree
+from topicloom.operators import cache, clustering, fits, labels, results, tfidf, tree
 from topicloom.operators.tree import FolderFilter
 from topicloom.plans import topics
 from topicloom.sources import notes as sources
+from topicloom.storage import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
@@ -326,29 +327,26 @@ def k_select_tolerance(spark, sf_dir):
     return clustering.pick_k(_table(spark, sf_dir, "nation").select((F.col("n_nationkey") + 2).alias("k"), (F.col("n_nationkey") * 7 % 25 / 500.0).alias("score")))
 
 
-def _labelled(spark: SparkSession, sf_dir: str, fit) -> DataFrame:
-    """(note_id, cluster_id) of the whole table of pooled notes."""
-    pooled = sources.pooled(sources.chunks(_table(spark, sf_dir, "embeddings")), 64)
-    found = fit(topics.matrix(pooled)).tolist()
-    ids = [r["note_id"] for r in pooled.select("note_id").orderBy("note_id").collect()]
-    return spark.createDataFrame(list(zip(ids, map(int, found), strict=True)), "note_id long, cluster_id int")
+def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(note_id, vector) of the whole table of pooled notes."""
+    return stored(sources.pooled(sources.chunks(_table(spark, sf_dir, "embeddings")), 64).select("note_id", "vector"), "points")
 
 
 @query()
 def kmeans_auto(spark, sf_dir):
-    return _labelled(spark, sf_dir, lambda x: clustering.sweep_k(spark, x)[2])
+    return fits.sweep_k(_points(spark, sf_dir))[2]
 
 
 @query()
 def hdbscan(spark, sf_dir):
-    return _labelled(spark, sf_dir, lambda x: clustering.hdbscan(x, clustering.min_cluster_size_for(len(x)), metric="cosine"))
+    points = _points(spark, sf_dir)
+    return fits.hdbscan(points, clustering.min_cluster_size_for(points.count()), metric="cosine")
 
 
 @query()
 def umap_project(spark, sf_dir):
-    pooled = sources.pooled(sources.chunks(_table(spark, sf_dir, "embeddings")), 64)
-    y = clustering.umap(topics.matrix(pooled), 5, clustering.neighbours_for(pooled.count()))
-    return spark.createDataFrame([(k, row) for k, row in enumerate(y.tolist())], "note_no long, point array<double>")
+    points = _points(spark, sf_dir)
+    return fits.umap(points, 5, clustering.neighbours_for(points.count()))
 
 
 # ---- labels

@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 from dataclasses import dataclass
 
-import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from topicloom.functions import embed, text, vectors
 from topicloom.operators import cache as caching
-from topicloom.operators import clustering, labels, tfidf
+from topicloom.operators import clustering, fits, labels, tfidf
 from topicloom.storage import stored
 
 LEAST_NOTES = 3
+log = logging.getLogger(__name__)
 
 
 @dataclass
@@ -42,42 +43,76 @@ def embedded(notes: DataFrame, cache: DataFrame | None = None, model: Callable =
     return new.select("note_id", "vector", "title_weight", "hash", "status").unionByName(kept.select("note_id", "vector", "title_weight", "hash", "status"))
 
 
+@dataclass
+class Result:
+    strategy: clustering.Strategy
+    labels: DataFrame
+    score: float
+    clusters: int
+    outliers: int
+
+
+def run_strategy(strategy: clustering.Strategy, points: DataFrame, metric: str, seed: int) -> Result:
+    """One strategy's labels of points (note_id, note_idx, vector), and their silhouette without noise."""
+    score = None
+    if strategy.algorithm == "kmeans" and strategy.k == "auto":
+        _, score, found = fits.sweep_k(points, metric, seed)
+    elif strategy.algorithm == "kmeans":
+        k = int(strategy.k or 5)
+        n = points.count()
+        found = fits.labelled(points, fits.kmeans(points, n, [k], metric, seed - min(k, n))[min(k, n)][0], metric)
+    elif strategy.algorithm == "hdbscan":
+        found = fits.hdbscan(points, strategy.min_cluster_size or 3, strategy.min_samples, metric)
+    else:
+        raise ValueError(f"no algorithm {strategy.algorithm}")
+    found = stored(found, "labels")
+    about = found.agg(F.count_distinct(F.when(F.col("cluster_id") >= 0, F.col("cluster_id"))), F.count_if(F.col("cluster_id") < 0)).first()
+    if score is None:
+        inner = points.join(found.where("cluster_id >= 0").select("note_id", "cluster_id"), "note_id")
+        score = clustering.exact_silhouette(inner, metric).first()["silhouette"] if about[0] >= 2 else 0.0
+    return Result(strategy, found, float(score), about[0], about[1])
+
+
+def benchmark(points: DataFrame, config: clustering.Config) -> list[Result]:
+    """Every strategy's result over points (note_id, note_idx, vector), best silhouette first; a strategy that fails is
+    logged and left out."""
+    metric = config.metric
+    if config.dimensions is not None:
+        points, metric = stored(fits.umap(points, config.dimensions, config.neighbours, config.seed, config.metric), "layout"), "euclidean"
+    results = []
+    for strategy in config.strategies:
+        try:
+            results.append(run_strategy(strategy, points, metric, config.seed))
+        except Exception:
+            log.exception("strategy %s failed", strategy.name)
+    return sorted(results, key=lambda r: -r.score)
+
+
+def comparison(spark: SparkSession, results: list[Result]) -> DataFrame:
+    rows = [(r.strategy.name, r.strategy.algorithm, r.clusters, r.outliers, r.score) for r in results]
+    return spark.createDataFrame(rows, "strategy string, algorithm string, clusters int, outliers int, silhouette double")
+
+
 def run(notes: DataFrame, note_vectors: DataFrame, ask: Callable | None = None, top_tags: int = 5, config: clustering.Config | None = None) -> Topics:
     """Cluster and label notes (note_id, note_idx, title, body) that have a vector (note_id, vector)."""
     spark = notes.sparkSession
-    met = notes.join(note_vectors.select("note_id", "vector"), "note_id")
-    n = met.count()
+    texts = notes.withColumn("note_id", F.col("note_id").cast("string"))
+    vectors_of = note_vectors.select(F.col("note_id").cast("string").alias("note_id"), vectors.widened(F.col("vector")).alias("vector"))
+    points = stored(texts.select("note_id", "note_idx").join(vectors_of, "note_id"), "points")
+    n = points.count()
     if n < LEAST_NOTES:
         raise ValueError(f"clustering takes {LEAST_NOTES} notes with vectors or more; there are {n}")
-    config = config or clustering.config_for(n)
-    rows = met.select("note_idx", "note_id", "vector").orderBy("note_idx", "note_id").toArrow()
-    flat = rows.column("vector").combine_chunks()
-    x = flat.flatten().to_numpy().reshape(n, -1)
-    ids, order = rows.column("note_id").to_pylist(), rows.column("note_idx").to_pylist()
-    results = clustering.benchmark(spark, x, config)
-    found = [(r.strategy.name, i, o, int(c)) for r in results for i, o, c in zip(ids, order, r.labels.tolist(), strict=True)]
-    assignments = stored(spark.createDataFrame(found, "strategy string, note_id string, note_idx long, cluster_id int"), "assignments")
-    summary = clustering.comparison(spark, results)
-    names = [r.strategy.name for r in results]
-    texts = notes.withColumn("note_id", F.col("note_id").cast("string"))
-    clustered = texts.join(met.select(F.col("note_id").cast("string").alias("note_id")), "note_id", "left_semi")
-    grams = stored(tfidf.note_ngrams(tfidf.corpus_ngrams(clustered)), "note-ngrams")
-    clusters = None
-    for name in names:
-        own = assignments.where(F.col("strategy") == name)
+    results = benchmark(points, config or clustering.config_for(n))
+    grams = stored(tfidf.note_ngrams(tfidf.corpus_ngrams(texts.join(points.select("note_id"), "note_id", "left_semi"))), "note-ngrams")
+    assignments = clusters = None
+    for r in results:
+        own = r.labels.select(F.lit(r.strategy.name).alias("strategy"), "note_id", "note_idx", "cluster_id")
         scored = stored(tfidf.scores(n, grams, own), "scores")
-        ids = own.where("cluster_id >= 0").select("cluster_id").distinct()
         tagged = labels.tags(scored, top_tags)
-        named = labels.told_apart(labels.names(scored, ids), scored)
-        named = labels.renamed_by(named, labels.sample_titles(texts, own), tagged, ask)
+        named = labels.told_apart(labels.names(scored, own.where("cluster_id >= 0").select("cluster_id").distinct()), scored)
+        named = stored(labels.renamed_by(named, labels.sample_titles(texts, own), tagged, ask), "names")
         sized = own.groupBy("cluster_id").agg(F.count("*").alias("size"))
-        named = stored(named, "named")
-        part = named.join(tagged, "cluster_id", "left").join(sized, "cluster_id").select(F.lit(name).alias("strategy"), "cluster_id", "size", "name", "tags")
+        part = named.join(tagged, "cluster_id", "left").join(sized, "cluster_id").select(F.lit(r.strategy.name).alias("strategy"), "cluster_id", "size", "name", "tags")
+        assignments = own if assignments is None else assignments.unionByName(own)
         clusters = part if clusters is None else clusters.unionByName(part)
-    return Topics(summary, assignments, clusters)
-
-
-def matrix(note_vectors: DataFrame) -> np.ndarray:
-    """A table's vectors in the order of note_id, all of them: the methods that take them pair up every two points."""
-    rows = note_vectors.select("note_id", "vector").orderBy("note_id").toArrow()
-    return rows.column("vector").combine_chunks().flatten().to_numpy().reshape(rows.num_rows, -1) if rows.num_rows else np.empty((0, 0))
+    return Topics(comparison(spark, results), assignments, clusters)
