@@ -251,6 +251,46 @@ def vec_valid(spark, sf_dir):
     return _table(spark, sf_dir, "embeddings").select("vec_id", vectors.is_valid(F.col("embedding")).alias("is_valid"), vectors.is_valid(F.col("embedding"), 384).alias("is_native"))
 
 
+_NATIVE = f"SELECT note_id, chunk_index, CASE WHEN note_id % 3 = 0 AND chunk_index > 0 THEN list_transform(first_v, lambda a: a * CASE WHEN chunk_index = 1 THEN -1.5 / exp(-0.15) ELSE 0.0 END) ELSE v END AS v FROM (SELECT *, first(v) OVER (PARTITION BY note_id ORDER BY chunk_index) AS first_v FROM ({sql.VECTORS}))"
+
+
+def _native(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunk vectors with a model's name; those of every third note cancel each other out."""
+    rows = sources.chunks(_table(spark, sf_dir, "embeddings"))
+    first = rows.where("chunk_index = 0").select("note_id", F.col("vector").alias("_first"))
+    factor = F.when(F.col("chunk_index") == 1, F.lit(-1.5) / F.exp(F.lit(-0.15))).otherwise(0.0)
+    vector = F.when((F.col("note_id") % 3 == 0) & (F.col("chunk_index") > 0), F.transform("_first", lambda a: a * factor)).otherwise(F.col("vector"))
+    return rows.join(first, "note_id").select("note_id", "chunk_index", vector.alias("vector"), F.lit("model-a").alias("model_id"), F.lit(64).alias("dimension"))
+
+
+@query("SELECT vec_id // 5 AS note_id, CAST(vec_id % 5 AS INTEGER) AS chunk_index, 'model-a' AS model, 64 AS dimension FROM embeddings WHERE vec_id // 5 IN (SELECT doc_id FROM labels WHERE toxic = 0)")
+def native_chunks(spark, sf_dir):
+    wanted = _table(spark, sf_dir, "labels").where("toxic = 0").select(F.col("doc_id").alias("note_id"))
+    rows, model, dimension = sources.native_chunks(_native(spark, sf_dir), wanted)
+    return rows.select("note_id", "chunk_index", F.lit(model).alias("model"), F.lit(dimension).alias("dimension"))
+
+
+@query(f"""WITH f AS (SELECT note_id, chunk_index, unnest(range(len(v))) AS dim, unnest(v) AS x, exp(-0.15 * chunk_index) + CASE WHEN chunk_index = 0 THEN 0.5 ELSE 0.0 END AS w FROM ({_NATIVE})),
+    m AS (SELECT note_id, dim, sum(w * x) / sum(w) AS x FROM f GROUP BY 1, 2), n AS (SELECT *, sqrt(sum(x * x) OVER (PARTITION BY note_id)) AS norm FROM m)
+    SELECT note_id, dim, round(x / norm, 6) + 0.0 AS x FROM n WHERE norm >= 1e-6""")
+def native_pooled(spark, sf_dir):
+    return _flat(sources.pooled(_native(spark, sf_dir), 64), "note_id", "vector")
+
+
+@query(f"""WITH b AS (SELECT vec_id, v FROM ({sql.VECTORS}) WHERE vec_id % 7 <> 0), t AS (SELECT vec_id - 1 AS vec_id, v AS w FROM ({sql.VECTORS}) WHERE vec_id > 0),
+    p AS (SELECT vec_id, v, w, CASE WHEN v IS NULL THEN 1.0 WHEN vec_id % 4 = 0 THEN 0.0 ELSE greatest(0.0, least(1.0, list_dot_product(v, w))) * 0.3 END AS a FROM t LEFT JOIN b USING (vec_id)),
+    f AS (SELECT vec_id, a, unnest(range(64)) AS dim, unnest(CASE WHEN v IS NULL THEN w WHEN a = 0 THEN v ELSE list_transform(list_zip(v, w), lambda z: (1 - a) * z[1] + a * z[2]) END) AS x FROM (SELECT vec_id, a, v, w FROM p))
+    SELECT vec_id, round(a, 6) + 0.0 AS title_weight, dim, round(x / CASE WHEN a IN (0, 1) THEN 1 ELSE sqrt(sum(x * x) OVER (PARTITION BY vec_id)) END, 6) + 0.0 AS x FROM f""")
+def note_vectors(spark, sf_dir):
+    """Body vectors blended with the next vector as the title's; every fourth title says nothing, every seventh note has no body."""
+    v = _vectors(spark, sf_dir)
+    body = v.where("vec_id % 7 <> 0").select("vec_id", F.col("v").alias("vector"))
+    titles = v.where("vec_id > 0").select((F.col("vec_id") - 1).alias("vec_id"), F.when(F.col("vec_id") % 4 == 1, "Untitled").otherwise("A title").alias("title"), F.col("v").alias("title_vector"))
+    body = body.join(titles.select("vec_id"), "vec_id", "left_semi")
+    out = vectors.note_vectors(body, titles, text.is_generic_title(F.col("title")), "vec_id")
+    return out.select("vec_id", _r(F.col("title_weight")).alias("title_weight"), F.posexplode("vector").alias("dim", "x")).select("vec_id", "title_weight", F.col("dim").cast("long").alias("dim"), _r(F.col("x")).alias("x"))
+
+
 # ---- cache
 
 def _cached(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -266,6 +306,13 @@ def cache_hits(spark, sf_dir):
     return cache.split(_notes(spark, sf_dir), _cached(spark, sf_dir), 4).select("note_id", "status")
 
 
+@query(f"""WITH s AS (SELECT note_idx, CASE WHEN body = '' AND {sql.GENERIC} THEN 'skipped' WHEN note_idx % 3 <> 0 AND note_idx % 2 = 0 AND note_idx % 5 <> 1 AND note_idx % 7 <> 0 THEN 'hit' ELSE 'miss' END AS status FROM ({sql.NOTES}))
+    SELECT CASE WHEN status <> 'miss' THEN status WHEN note_idx % 11 <> 0 THEN 'embedded' ELSE 'failed' END AS status, count(*) AS n FROM s GROUP BY 1""")
+def embed_counters(spark, sf_dir):
+    split = cache.split(_notes(spark, sf_dir), _cached(spark, sf_dir), 4)
+    return cache.counters(split, split.where("note_idx % 11 <> 0"))
+
+
 @query("SELECT CAST(doc_id AS VARCHAR) AS note_id FROM documents WHERE doc_id % 3 <> 0 AND doc_id NOT IN (SELECT doc_id FROM labels)")
 def cache_obsolete(spark, sf_dir):
     return cache.obsolete(_cached(spark, sf_dir), sources.note_ids(_table(spark, sf_dir, "labels"))).select("note_id")
@@ -385,14 +432,47 @@ def tags_demoted(spark, sf_dir):
     return labels.without_demoted(_scores(spark, sf_dir)).select("cluster_id", "ngram")
 
 
-@query()
+def _tagged(tagged: DataFrame) -> DataFrame:
+    return tagged.select("cluster_id", F.array_join("tags", "|").alias("tags"))
+
+
+@query(sql.labelled(sql.DEMOTED, sql.GREEDY).replace("WITH", "WITH RECURSIVE", 1))
 def tags_greedy(spark, sf_dir):
-    return labels.tags(_scores(spark, sf_dir))
+    return _tagged(labels.tags(_scores(spark, sf_dir)))
+
+
+@query(sql.FULL + " SELECT cluster_id, ngram, round(score, 9) + 0.0 AS score FROM scores")
+def cluster_ngrams_full(spark, sf_dir):
+    return tfidf.full_scores(_notes(spark, sf_dir), _clustered(spark, sf_dir)).select("cluster_id", "ngram", (F.round("score", 9) + 0.0).alias("score"))
+
+
+@query(sql.FULL.replace("WITH", "WITH RECURSIVE", 1) + f", {sql.DEMOTED}, {sql.GREEDY}")
+def cluster_tags_full(spark, sf_dir):
+    return _tagged(labels.cluster_tags(_notes(spark, sf_dir), _clustered(spark, sf_dir)))
 
 
-@query(sql.labelled(sql.DEMOTED, sql.TAXONOMY) + "SELECT cluster_id, category FROM taxonomy")
+def _subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("cluster_id"), F.explode(F.sequence(F.lit(1), F.lit(4))).alias("rank"))
+    gram = F.element_at(F.array(*map(F.lit, sql.SUBJECTS)), ((F.col("cluster_id") * 5 + F.col("rank") * 3) % len(sql.SUBJECTS) + 1).cast("int"))
+    return rows.select("cluster_id", gram.alias("ngram"), (F.lit(1.0) / F.col("rank")).alias("score"), "rank")
+
+
+@query(f"WITH {sql.SUBJECT_SCORES}, {sql.DEMOTED}, {sql.TAXONOMY} SELECT cluster_id, category FROM taxonomy")
 def cluster_taxonomy(spark, sf_dir):
-    return labels.taxonomy(labels.without_demoted(_scores(spark, sf_dir)))
+    return labels.taxonomy(labels.without_demoted(_subjects(spark, sf_dir)))
+
+
+@query(f"""WITH {sql.SUBJECT_SCORES}, {sql.DEMOTED}, named AS (SELECT n_nationkey AS cluster_id, CASE WHEN n_nationkey % 6 = 0 THEN r_name || ' (' || {sql.title_case(f"'{sql.SUBJECTS[3]}'")} || ')' ELSE r_name END AS name FROM nation JOIN region ON r_regionkey = n_regionkey),
+    best AS (SELECT cluster_id, arg_min(ngram, rank) AS ngram FROM kept GROUP BY 1),
+    met AS (SELECT *, count(*) OVER (PARTITION BY name) AS n, name || ' (' || {sql.title_case("ngram")} || ')' AS resolved FROM named JOIN best USING (cluster_id)),
+    numbered AS (SELECT *, row_number() OVER (PARTITION BY resolved ORDER BY cluster_id) + CASE WHEN resolved IN (SELECT name FROM met WHERE n = 1) THEN 1 ELSE 0 END AS place FROM met WHERE n > 1)
+    SELECT cluster_id, resolved || CASE WHEN place > 1 THEN ' ' || place ELSE '' END AS name FROM numbered UNION ALL SELECT cluster_id, name FROM met WHERE n = 1""")
+def names_told_apart(spark, sf_dir):
+    """Nations under their region's name, of which many are alike; some names already look like one in brackets."""
+    met = _table(spark, sf_dir, "nation").join(_table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    bracketed = F.concat("r_name", F.lit(" ("), text.title_case(F.lit(sql.SUBJECTS[3])), F.lit(")"))
+    named = met.select(F.col("n_nationkey").alias("cluster_id"), F.when(F.col("n_nationkey") % 6 == 0, bracketed).otherwise(F.col("r_name")).alias("name"))
+    return labels.told_apart(named, _subjects(spark, sf_dir))
 
 
 @query(sql.labelled(sql.DEMOTED, sql.TAXONOMY, sql.NAMES) + "SELECT cluster_id, name FROM names")
@@ -445,12 +525,20 @@ def apply_tags(spark, sf_dir):
     return applying.planned_tags(_notes(spark, sf_dir).select("note_id", "title", "body"), _assigned(spark, sf_dir), _clusters(spark))
 
 
-@query(f"WITH f AS ({sql.FOLDERS}) SELECT folder_id FROM f WHERE folder_id NOT IN (SELECT parent_id FROM f) AND folder_id NOT IN (SELECT 'c' || o_custkey FROM orders)")
+@query(f"WITH f AS ({sql.FOLDERS}) SELECT folder_id FROM f WHERE folder_id NOT IN (SELECT parent_id FROM f) AND folder_id NOT IN (SELECT 'c' || o_custkey FROM orders WHERE o_custkey % 3 <> 0)")
 def empty_folders(spark, sf_dir):
-    notes = _table(spark, sf_dir, "orders").select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("parent_id"))
+    notes = _table(spark, sf_dir, "orders").where("o_custkey % 3 <> 0").select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("parent_id"))
     return applying.empty_folders(sources.folders(spark, sf_dir), notes).select("folder_id")
 
 
+@query(rf"""WITH n AS (SELECT CAST(doc_id AS VARCHAR) AS note_id, doc_id, text, lang, coalesce(source, '') AS source, CASE WHEN doc_id % 5 = 0 THEN 'en' ELSE 'Topic ' || (doc_id % 5) END AS main FROM documents),
+    t AS (SELECT note_id, lower(main) AS k, lang FROM n WHERE doc_id % 7 <> 0 UNION SELECT note_id, k, lang FROM n, (SELECT unnest(['the', 'license', 'de']) AS k) WHERE doc_id % 7 <> 0 AND regexp_matches(lower(text), '(?:^|[^\p{{L}}\p{{N}}])' || k || '(?:$|[^\p{{L}}\p{{N}}])'))
+    SELECT n.note_id, source AS original_parent_id, 'Folder ' || source AS original_parent_title, '' AS original_grandparent_id, (SELECT count(*) FROM t WHERE t.note_id = n.note_id AND k <> lang) AS n_added FROM n""")
+def change_log(spark, sf_dir):
+    log = applying.apply(_state(spark, sf_dir), _assigned(spark, sf_dir), _clusters(spark), "both")[1]
+    return log.notes.select("note_id", "original_parent_id", "original_parent_title", "original_grandparent_id", F.size("added_tag_ids").cast("long").alias("n_added"))
+
+
 @query("SELECT unnest(['notes', 'folders', 'tags', 'note_tags']) AS what, CAST(0 AS BIGINT) AS differing")
 def undo_roundtrip(spark, sf_dir):
     before = _state(spark, sf_dir)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from topicloom.functions import text
 from topicloom.functions.words import TAXONOMY
+from topicloom.operators import tfidf
 
 _ENTRY = "array<struct<ngram: string, score: double>>"
 
@@ -45,6 +46,11 @@ def tags(scores: DataFrame, k: int = 5) -> DataFrame:
     return _ranked(without_demoted(scores)).select("cluster_id", _chosen(F.col("grams"), k).alias("tags"))
 
 
+def cluster_tags(notes: DataFrame, assigned: DataFrame, k: int = 5) -> DataFrame:
+    """``tags`` of notes' clusters by the n-grams of whole bodies."""
+    return tags(tfidf.full_scores(notes, assigned), k)
+
+
 def taxonomy(scores: DataFrame) -> DataFrame:
     """(cluster_id, category) of clusters one of whose three best n-grams holds a keyword: the best such n-gram decides,
     then the order of the categories."""

@@ -59,26 +59,47 @@ def _parts(flag: str, longest: int, c: str) -> str:
     return f"SELECT note_id, note_idx, cluster_id, {flag} AS in_title, {longest} AS longest, unnest({split}) AS seg, unnest(range(len({split}))) AS seg_no FROM notes"
 
 
-GRAMS = f"""notes AS ({NOTES}),
-  parts AS ({_parts("TRUE", 3, "title")} UNION ALL {_parts("FALSE", 2, f"substr(body, 1, {BODY_CHARS})")}),
-  toks AS (SELECT * EXCLUDE (seg), {tokens("seg")} AS t FROM parts),
-  places AS (SELECT *, unnest(range(1, len(t) + 1)) AS i FROM toks),
-  grams AS (SELECT note_id, note_idx, cluster_id, in_title, seg_no, i, n, array_to_string(list_slice(t, i, i + n - 1), ' ') AS ngram
-    FROM places, (SELECT unnest([1, 2, 3]) AS n) WHERE n <= longest AND i + n - 1 <= len(t) AND NOT (n >= 2 AND t[i] = t[i + 1]) AND NOT (n = 3 AND t[i + 1] = t[i + 2]))"""
+def grams(body: str, longest: int, prefix: str = "") -> str:
+    """N-grams of notes: titles up to trigrams, bodies up to a length."""
+    return f"""{prefix}parts AS ({_parts("TRUE", 3, "title")} UNION ALL {_parts("FALSE", longest, body)}),
+  {prefix}toks AS (SELECT * EXCLUDE (seg), {tokens("seg")} AS t FROM {prefix}parts),
+  {prefix}places AS (SELECT *, unnest(range(1, len(t) + 1)) AS i FROM {prefix}toks),
+  {prefix}grams AS (SELECT note_id, note_idx, cluster_id, in_title, seg_no, i, n, array_to_string(list_slice(t, i, i + n - 1), ' ') AS ngram
+    FROM {prefix}places, (SELECT unnest([1, 2, 3]) AS n) WHERE n <= longest AND i + n - 1 <= len(t) AND NOT (n >= 2 AND t[i] = t[i + 1]) AND NOT (n = 3 AND t[i + 1] = t[i + 2]))"""
+
+
+GRAMS = f"notes AS ({NOTES}), " + grams(f"substr(body, 1, {BODY_CHARS})", 2)
 IDF = f"""idf AS (SELECT ngram, count(DISTINCT note_id) AS df, CASE WHEN count(DISTINCT note_id) / (SELECT count(*) FROM notes) > {COMMON} THEN 0.0
     ELSE ln((SELECT count(*) FROM notes) / count(DISTINCT note_id)) + 1 END AS idf FROM grams GROUP BY 1)"""
-TF = f"""tf AS (SELECT cluster_id, ngram, CAST(sum(CASE WHEN in_title THEN {TITLE_WEIGHT} ELSE 1 END) AS BIGINT) AS tf, count(DISTINCT note_id) AS n_docs, bool_or(in_title) AS in_title,
-    min({{'a': note_idx, 'b': NOT in_title, 'c': seg_no, 'd': i, 'e': n}}) AS first FROM grams GROUP BY 1, 2),
+def _tf(grams: str) -> str:
+    return f"""tf AS (SELECT cluster_id, ngram, CAST(sum(CASE WHEN in_title THEN {TITLE_WEIGHT} ELSE 1 END) AS BIGINT) AS tf, count(DISTINCT note_id) AS n_docs, bool_or(in_title) AS in_title,
+    min({{'a': note_idx, 'b': NOT in_title, 'c': seg_no, 'd': i, 'e': n}}) AS first FROM {grams} GROUP BY 1, 2),
   totals AS (SELECT *, CAST(sum(tf) OVER (PARTITION BY cluster_id) AS DOUBLE) AS total, row_number() OVER (PARTITION BY cluster_id ORDER BY tf DESC, first) AS tf_rank, count(*) OVER (PARTITION BY cluster_id) AS kinds FROM tf)"""
-SCORES = f"""scores AS (SELECT s.*, row_number() OVER (PARTITION BY cluster_id ORDER BY score DESC, CASE WHEN kinds > {KEPT} THEN tf_rank END, first) AS rank FROM (
+def _scores(kept: int) -> str:
+    return f"""scores AS (SELECT s.*, row_number() OVER (PARTITION BY cluster_id ORDER BY score DESC, CASE WHEN kinds > {kept} THEN tf_rank END, first) AS rank FROM (
     SELECT t.cluster_id, ngram, kinds, tf_rank, first, tf / total * idf * (n_docs / size) * (CASE len(string_split(ngram, ' ')) WHEN 1 THEN CASE WHEN length(ngram) <= 4 THEN 0.5 ELSE 1.0 END WHEN 2 THEN 1.5 ELSE 2.0 END) * (CASE WHEN in_title THEN 1.5 ELSE 1.0 END) AS score
-    FROM totals t JOIN idf USING (ngram) JOIN (SELECT cluster_id, count(*) AS size FROM notes GROUP BY 1) z ON z.cluster_id = t.cluster_id WHERE idf > 0 AND tf_rank <= {KEPT}) s)"""
+    FROM totals t JOIN idf USING (ngram) JOIN (SELECT cluster_id, count(*) AS size FROM notes GROUP BY 1) z ON z.cluster_id = t.cluster_id WHERE idf > 0 AND tf_rank <= {kept}) s)"""
+
+
+TF, SCORES = _tf("grams"), _scores(KEPT)
+#: The variant over whole bodies with trigrams and without the cap; document frequencies stay those of the capped n-grams.
+FULL = f"WITH {GRAMS}, {IDF}, {grams('body', 3, 'full_')}, {_tf('full_grams')}, {_scores(1 << 40)}"
 DEMOTED = """kept AS (SELECT * FROM scores s WHERE NOT EXISTS (SELECT 1 FROM scores o WHERE o.cluster_id = s.cluster_id AND contains(o.ngram, ' ')
     AND list_contains(string_split(o.ngram, ' '), s.ngram) AND o.score >= 0.5 * s.score))"""
 TAXONOMY = """taxonomy AS (SELECT cluster_id, arg_min(category, place * 100 + ord) AS category FROM (
     SELECT cluster_id, place, unnest(string_split(ngram, ' ')) AS keyword FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY rank) AS place FROM kept) WHERE place <= 3) JOIN (VALUES %s) AS k(keyword, category, ord) USING (keyword) GROUP BY 1)""" % ", ".join(
     f"('{keyword}', '{category}', {order})" for order, (category, keywords) in enumerate(words.TAXONOMY) for keyword in keywords
 )
+#: Greedy choice of tags, rank after rank.
+GREEDY = """ranked AS (SELECT cluster_id, ngram, list_distinct(string_split(ngram, ' ')) AS w, row_number() OVER (PARTITION BY cluster_id ORDER BY rank) AS place FROM kept),
+  picked AS (SELECT DISTINCT cluster_id, CAST(0 AS BIGINT) AS place, CAST([] AS VARCHAR[]) AS tags, CAST([] AS VARCHAR[]) AS used FROM ranked
+    UNION ALL SELECT s.cluster_id, r.place, CASE WHEN len(tags) < 5 AND len(list_intersect(w, used)) <= CASE WHEN len(w) = 1 THEN 0 ELSE 1 END THEN list_append(tags, ngram) ELSE tags END,
+      CASE WHEN len(tags) < 5 AND len(list_intersect(w, used)) <= CASE WHEN len(w) = 1 THEN 0 ELSE 1 END THEN list_concat(used, w) ELSE used END
+    FROM picked s JOIN ranked r ON r.cluster_id = s.cluster_id AND r.place = s.place + 1)
+  SELECT cluster_id, array_to_string(arg_max(tags, place), '|') AS tags FROM picked GROUP BY 1"""
+#: Scored n-grams with known subjects, four for each nation.
+SUBJECTS = ["travel plans", "fund", "meal prep", "bread recipe", "gym", "javascript code", "quotes", "zebra", "lemon tree", "quiet river", "stone", "blue glass"]
+SUBJECT_SCORES = f"""scores AS (SELECT n_nationkey AS cluster_id, CAST(r AS INTEGER) AS rank, list_extract([{_list(SUBJECTS)}], (n_nationkey * 5 + r * 3) % {len(SUBJECTS)} + 1) AS ngram, CAST(1 AS DOUBLE) / r AS score FROM nation, range(1, 5) t(r))"""
 NAMES = f"""best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY rank) AS place FROM kept) WHERE place = 1),
   second AS (SELECT k.cluster_id, arg_min(k.ngram, k.rank) AS ngram, arg_min(k.score, k.rank) AS score FROM kept k JOIN best b ON b.cluster_id = k.cluster_id AND k.rank > b.rank
     WHERE k.score > 0 AND NOT list_has_any(string_split(k.ngram, ' '), string_split(b.ngram, ' ')) GROUP BY 1),
