@@ -164,3 +164,64 @@ def test_edits(spark):
     with pytest.raises(ValueError):
         results.add_cluster(clusters, "a")
     assert results.default_strategy(["hdbscan", "kmeans-auto"]) == 1
+
+
+def test_last_of_alike_titles_counts(spark):
+    tags = spark.createDataFrame([("z", "Cat", 0), ("a", "CAT", 1), ("b", "dog", 2)], "tag_id string, title string, position int")
+    wanted = spark.createDataFrame([("cat",), ("Bird",)], "title string")
+    got = {r["title_key"]: (r["tag_id"], r["created"]) for r in applying.tags_for(tags, wanted).collect()}
+    assert got["cat"] == ("a", False) and got["bird"][1]
+    assert {r["title_key"]: r["tag_id"] for r in applying.tags_for(tags.drop("position"), wanted).collect()}["cat"] == "z"
+    folders = spark.createDataFrame([("y", "Old", "", 0), ("b", "OLD", "", 1), ("c", "old", "y", 2)], "folder_id string, title string, parent_id string, position int")
+    got = applying.folders_for(folders, spark.createDataFrame([("old", ""), ("old", "q")], "title string, parent_id string"))
+    assert {(r["parent_id"], r["created"]): r["folder_id"] for r in got.collect()}["", False] == "b" and got.where("created").count() == 1
+
+
+def test_slow_and_failing_models_keep_names(spark):
+    import time
+
+    named = spark.createDataFrame([(0, "A"), (1, "B")], "cluster_id int, name string")
+    summaries = spark.createDataFrame([(0, 3, ["one title"]), (1, 2, ["two"])], "cluster_id int, n_notes long, titles array<string>")
+    tagged = spark.createDataFrame([(0, ["t"])], "cluster_id int, tags array<string>")
+    names = lambda ask, s=5.0: [r["name"] for r in labels.renamed_by(named, summaries, tagged, ask, s).orderBy("cluster_id").collect()]
+    assert names(lambda p: '{"0": "X", "1": "X"}') == ["X", "X 2"]
+    assert names(lambda p: time.sleep(3) or '{"0": "X", "1": "Y"}', 0.2) == names(lambda p: 1 / 0) == names(lambda p: "?") == ["A", "B"]
+
+
+def test_session(spark):
+    from topicloom.plans.session import Busy, Session, Settings, percent
+
+    assert [percent(1, 3), percent(1, 8), percent(0, 0), percent(5, 5)] == [33, 13, 0, 100]
+    kept = Settings("Top", "tags", FolderFilter("include", ("a",), False))
+    assert Settings.of_json(kept.to_json()) == kept and Settings.of_json("{") == Settings.of_json('{"method": "x", "filter": 3}') == Settings()
+    rng = np.random.default_rng(1)
+    x = np.concatenate([rng.normal(c, 1, (8, 3)) for c in (0, 60)])
+    subject = ["garden soil", "engine oil"]
+    notes = spark.createDataFrame([(str(k), k, f"{subject[k // 8]} {k}", f"about {subject[k // 8]}", "f" if k != 3 else "g") for k in range(16)], "note_id string, note_idx long, title string, body string, parent_id string")
+    folders = spark.createDataFrame([("f", "Old", ""), ("g", "Else", "")], "folder_id string, title string, parent_id string")
+    none = spark.createDataFrame([], "tag_id string, title string"), spark.createDataFrame([], "note_id string, tag_id string")
+    points = spark.createDataFrame([(str(k), v.tolist()) for k, v in enumerate(x)], "note_id string, vector array<double>")
+    s = Session(applying.State(notes, folders, *none), points)
+    with pytest.raises(ValueError):
+        s.shown()
+    with pytest.raises(ValueError):
+        s.update(method="x")
+    s.update(method="notebooks", filter=FolderFilter("include", ("f",)))
+    config = clustering.Config(metric="euclidean", dimensions=None, strategies=(clustering.Strategy("hdbscan", "hdbscan", None, 3, 2), clustering.Strategy("kmeans-2", "kmeans", 2)))
+    s.run(config)
+    assert s.poll()["status"] == "ready" and s.strategies()[s.selected] == "kmeans-2" and s.note("3")["title"] == "garden soil 3" and s.note("x") is None
+    assignments, clusters = s.shown()
+    assert assignments.count() == 15 and {r["note_count"] for r in s.folders().collect()} == {15, 1}
+    s.sync(assignments, results.rename_cluster(clusters, 0, "Renamed"))
+    assert "Renamed" in {r["name"] for r in s.shown()[1].collect()}
+    assert s.apply().startswith("Method: Notebooks Only | Modified Notes: 15")
+    assert "Renamed" in {r["title"] for r in s.state.folders.collect()} and s.poll()["can_undo"]
+    s._lock.acquire()
+    with pytest.raises(Busy):
+        s.undo()
+    s._lock.release()
+    s.undo()
+    assert {r["parent_id"] for r in s.state.notes.collect()} == {"f", "g"} and not s.poll()["can_undo"]
+    with pytest.raises(ValueError):
+        s.undo()
+    assert s.poll()["status"] == "failed" and s.poll()["error"]

@@ -54,17 +54,24 @@ def new_id(*parts: Column) -> Column:
     return F.substring(F.sha2(F.concat_ws("\x1f", *parts), 256), 1, 32)
 
 
+def _last(table: DataFrame, key: str) -> Column:
+    """The id of a table's last row, in the order of its ``position`` where it has one, else of the ids."""
+    return F.max_by(key, F.struct("position", key)) if "position" in table.columns else F.max(key)
+
+
 def tags_for(tags: DataFrame, titles: DataFrame) -> DataFrame:
-    """(title_key, tag_id, title, created) for titles, in any case: existing tags' ids, else new ones."""
-    have = tags.groupBy(F.lower("title").alias("title_key")).agg(F.max("tag_id").alias("_id"))
+    """(title_key, tag_id, title, created) for titles, in any case: existing tags' ids, else new ones. Of tags alike in
+    their title the last counts."""
+    have = tags.groupBy(F.lower("title").alias("title_key")).agg(_last(tags, "tag_id").alias("_id"))
     wanted = titles.select(F.lower("title").alias("title_key"), "title").groupBy("title_key").agg(F.min("title").alias("title"))
     out = wanted.join(have, "title_key", "left")
     return out.select("title_key", F.coalesce("_id", new_id(F.lit("tag"), F.col("title_key"))).alias("tag_id"), "title", F.col("_id").isNull().alias("created"))
 
 
 def folders_for(folders: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(title, parent_id, folder_id, created) for wanted (title, parent_id): existing folders' ids, else new ones."""
-    have = folders.groupBy(F.lower("title").alias("_key"), F.col("parent_id").alias("_parent")).agg(F.max("folder_id").alias("_id"))
+    """(title, parent_id, folder_id, created) for wanted (title, parent_id): existing folders' ids, else new ones. Of
+    folders alike in title and place the last counts."""
+    have = folders.groupBy(F.lower("title").alias("_key"), F.col("parent_id").alias("_parent")).agg(_last(folders, "folder_id").alias("_id"))
     out = wanted.distinct().join(have, (F.lower("title") == F.col("_key")) & (F.col("parent_id") == F.col("_parent")), "left")
     return out.select("title", "parent_id", F.coalesce("_id", new_id(F.lit("folder"), F.lower("title"), F.col("parent_id"))).alias("folder_id"), F.col("_id").isNull().alias("created"))
 
@@ -127,14 +134,14 @@ def apply(state: State, assigned: DataFrame, clusters: DataFrame, method: str =
         wanted = plan.select("note_id", F.lower("title").alias("title_key")).join(ids, "title_key").select("note_id", "tag_id").distinct()
         new = stored(wanted.join(state.note_tags, ["note_id", "tag_id"], "left_anti"), "new-tags")
         made_tags = ids.where("created").select("tag_id")
-        after = replace(after, tags=state.tags.unionByName(ids.where("created").select("tag_id", "title")), note_tags=state.note_tags.unionByName(new))
+        after = replace(after, tags=state.tags.unionByName(ids.where("created").select("tag_id", "title"), allowMissingColumns=True), note_tags=state.note_tags.unionByName(new))
         links = new.groupBy("note_id").agg(F.array_sort(F.collect_set("tag_id")).alias("_tags"))
     if method != "tags":
         moves, homes = (stored(t, "moves") for t in planned_moves(state, assigned, clusters, parent))
         created = homes.where("created").dropDuplicates(["folder_id"])
         made_folders = created.select("folder_id")
         moved = state.notes.join(moves, "note_id", "left").withColumn("parent_id", F.coalesce("target", "parent_id")).drop("target")
-        folders = state.folders.unionByName(created.select("folder_id", "title", "parent_id"))
+        folders = state.folders.unionByName(created.select("folder_id", "title", "parent_id"), allowMissingColumns=True)
         left = state.notes.join(moves, "note_id", "left_semi").select(F.col("parent_id").alias("folder_id")).distinct()
         gone = stored(empty_folders(folders, moved).join(left, "folder_id", "left_semi").select("folder_id"), "gone-folders")
         after = replace(after, notes=moved, folders=folders.join(gone, "folder_id", "left_anti"))
@@ -160,7 +167,7 @@ def undo(state: State, log: ChangeLog | None) -> State:
     known = state.folders.select(F.col("folder_id").alias("_up"))
     made = made.join(known, F.col("parent_id") == F.col("_up"), "left").select(F.col("original_parent_id").alias("folder_id"), F.coalesce("title", F.lit("Restored")).alias("title"), F.when(F.col("_up").isNotNull() | (F.col("parent_id") == ""), F.col("parent_id")).otherwise(F.lit("")).alias("parent_id"))
     notes = state.notes.join(back.select("note_id", "original_parent_id"), "note_id", "left").withColumn("parent_id", F.coalesce("original_parent_id", "parent_id")).drop("original_parent_id")
-    folders = state.folders.unionByName(made)
+    folders = state.folders.unionByName(made, allowMissingColumns=True)
     gone = empty_folders(folders, notes).join(log.created_folders, "folder_id", "left_semi").select("folder_id")
     added = log.notes.select("note_id", F.explode("added_tag_ids").alias("tag_id"))
     links = state.note_tags.join(added, ["note_id", "tag_id"], "left_anti").join(log.created_tags, "tag_id", "left_anti").select(*state.note_tags.columns)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -111,8 +112,33 @@ def sample_titles(notes: DataFrame, assigned: DataFrame, most: int = 6) -> DataF
     return met.groupBy("cluster_id").agg(F.count("*").alias("n_notes")).join(titles, "cluster_id", "left").withColumn("titles", F.coalesce("titles", F.array().cast("array<string>")))
 
 
-def renamed_by(named: DataFrame, summaries: DataFrame, tagged: DataFrame, ask: Callable[[list[dict]], str] | None) -> DataFrame:
-    """Names from a model that answers messages, or ``named`` as it is without one or after any failure.
+#: Seconds that a model may take to name one strategy's clusters.
+ASK_SECONDS = 45.0
+
+
+def _asked(ask: Callable[[list[dict]], str], prompt: list[dict], seconds: float) -> str:
+    """The model's answer, or ``TimeoutError``; a thread that hangs is left behind."""
+    answer: list = []
+
+    def run() -> None:
+        try:
+            answer.append(ask(prompt))
+        except Exception as e:
+            answer.append(e)
+
+    thread = threading.Thread(target=run, daemon=True)
+    thread.start()
+    thread.join(seconds)
+    if not answer:
+        raise TimeoutError(f"no names within {seconds} seconds")
+    if isinstance(answer[0], Exception):
+        raise answer[0]
+    return answer[0]
+
+
+def renamed_by(named: DataFrame, summaries: DataFrame, tagged: DataFrame, ask: Callable[[list[dict]], str] | None, seconds: float = ASK_SECONDS) -> DataFrame:
+    """Names from a model that answers messages, or ``named`` as it is without one or after any failure, such as an
+    answer that takes too long.
 
     One row per cluster reaches the driver.
     """
@@ -123,7 +149,7 @@ def renamed_by(named: DataFrame, summaries: DataFrame, tagged: DataFrame, ask: C
         return named
     prompt = text.naming_prompt([{"cluster_id": r["cluster_id"], "n_notes": r["n_notes"], "titles": r["titles"], "keywords": (r["tags"] or [])[:3]} for r in rows])
     try:
-        given = text.parse_names(ask(prompt), [r["cluster_id"] for r in rows])
+        given = text.parse_names(_asked(ask, prompt, seconds), [r["cluster_id"] for r in rows])
     except Exception:
         given = None
     if not given:

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import logging
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -104,15 +106,19 @@ def run(notes: DataFrame, note_vectors: DataFrame, ask: Callable | None = None,
         raise ValueError(f"clustering takes {LEAST_NOTES} notes with vectors or more; there are {n}")
     results = benchmark(points, config or clustering.config_for(n))
     grams = stored(tfidf.note_ngrams(tfidf.corpus_ngrams(texts.join(points.select("note_id"), "note_id", "left_semi"))), "note-ngrams")
-    assignments = clusters = None
-    for r in results:
+
+    def label(r: Result) -> tuple[DataFrame, DataFrame]:
         own = r.labels.select(F.lit(r.strategy.name).alias("strategy"), "note_id", "note_idx", "cluster_id")
         scored = stored(tfidf.scores(n, grams, own), "scores")
         tagged = labels.tags(scored, top_tags)
         named = labels.told_apart(labels.names(scored, own.where("cluster_id >= 0").select("cluster_id").distinct()), scored)
         named = stored(labels.renamed_by(named, labels.sample_titles(texts, own), tagged, ask), "names")
         sized = own.groupBy("cluster_id").agg(F.count("*").alias("size"))
-        part = named.join(tagged, "cluster_id", "left").join(sized, "cluster_id").select(F.lit(r.strategy.name).alias("strategy"), "cluster_id", "size", "name", "tags")
-        assignments = own if assignments is None else assignments.unionByName(own)
-        clusters = part if clusters is None else clusters.unionByName(part)
+        return own, named.join(tagged, "cluster_id", "left").join(sized, "cluster_id").select(F.lit(r.strategy.name).alias("strategy"), "cluster_id", "size", "name", "tags")
+
+    if not results:
+        raise ValueError("every strategy failed")
+    with ThreadPoolExecutor(len(results)) as pool:  # a strategy each: their jobs and a model's answers overlap
+        parts = list(pool.map(label, results))
+    assignments, clusters = (reduce(DataFrame.unionByName, side) for side in zip(*parts, strict=True))
     return Topics(comparison(spark, results), assignments, clusters)
