@@ -324,6 +324,58 @@ def test_licences_inside_lines_and_of_one_family():
         assert all(found("by us, " + t + " and so on") == [(name, 1)] for t in texts), name
 
 
+def test_licences_keep_their_versions():
+    from topicloom.llm.licences import TEMPLATES, Scanner
+
+    scan = Scanner().scan
+    named = lambda text: [m[0] for m in scan(text)]
+    assert named("This work is licensed under the GNU General Public License v3.") == ["GPL-3.0"]
+    assert named("Licensed under the GNU General Public License v3.0.") == ["GPL-3.0"] == named("licensed under the GNU General Public License (v. 3)")
+    assert named("This work is licensed under the GNU General Public License v2") == ["GPL-2.0"]
+    assert named("Licensed under the GNU General Public License.") == ["GPL"] == named("Licensed under the GNU General Public License, version 1")
+    assert named(TEMPLATES["BSD-2-Clause"][1]) == ["BSD-2-Clause"] and named(TEMPLATES["BSD-3-Clause"][1]) == ["BSD-3-Clause"]
+    assert named("Apache License\nVersion 2.0, January 2004\nhttp://www.apache.org/licenses/\n\nTERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION") == ["Apache-2.0"]
+    assert named("A licensed plumber, version of 1999, the general public and a license to drive") == []
+
+
+def test_licence_scan_equals_brute_force(spark):
+    from topicloom.llm.licences import Scanner, licence_scan, words
+
+    templates = {"A": ("one two three four five six seven",), "B": ("one two three four nine nine nine eight",), "C": ("nine ten",), "D": ("one two three four five six seven",)}
+    r = random.Random(2)
+    pool = "one two three four five six seven eight nine ten x y".split()
+    texts = []
+    for _ in range(150):
+        parts = [" ".join(r.choices(pool, k=r.randint(0, 9))) if r.random() < 0.5 else r.choice(templates[r.choice("ABC")])[: r.randint(12, 60)] for _ in range(4)]
+        texts.append(r.choice([" ", ". ", "\n"]).join(parts))
+
+    def brute(text):
+        w = words(text)
+        grams = list(zip(w, w[1:]))
+        found = []
+        for name, (template,) in templates.items():
+            t = words(template)
+            own = collections.Counter(zip(t, t[1:]))
+            size = sum(own.values())
+            for i in range(len(grams)):
+                for j in range(i + 1, len(grams) + 1):
+                    dice = 2 * sum((own & collections.Counter(grams[i:j])).values()) / (j - i + size)
+                    if dice >= 0.8:
+                        found.append((-dice, -size, i, name, j))
+        taken, best = set(), {}
+        for dice, _, i, name, j in sorted(found):
+            if not taken & set(range(i, j + 1)):
+                taken |= set(range(i, j + 1))
+                best.setdefault(name, [-dice, 0])[1] += 1
+        return sorted((name, d, n) for name, (d, n) in best.items())
+
+    rows = [(k, t, k) for k, t in enumerate(texts)] + [(None, texts[0], 0), (3, texts[3], 0), (900, None, 0), (901, "", 0)]
+    want = sorted((str(k), *m) for k, t, _ in rows for m in brute(t or ""))
+    table = spark.createDataFrame(rows, "doc_id long, text string, dice int")
+    got = licence_scan(table, Scanner(templates)).collect()
+    assert sorted((str(g["doc_id"]), g["license_id"], g["dice"], g["n_matches"]) for g in got) == want and len(want) > 100
+
+
 def test_empty_tables(spark):
     import public_tokenizers
 
@@ -331,8 +383,8 @@ def test_empty_tables(spark):
     from topicloom.llm.licences import licence_scan
     from topicloom.llm.packing import best_fit_packing
     from topicloom.llm.simhash import deduplicated, near_groups
-    from topicloom.llm.suffixes import suffix_dedup, without_repeats
+    from topicloom.llm.suffixes import suffix_dedup, without_passages
 
     none = spark.createDataFrame([], SCHEMA)
-    for f in (katz_scores, licence_scan, near_groups, deduplicated, suffix_dedup, without_repeats, lambda d: best_fit_packing(d, public_tokenizers.path("byte_bpe_50k.json"))):
+    for f in (katz_scores, licence_scan, near_groups, deduplicated, suffix_dedup, without_passages, lambda d: best_fit_packing(d, public_tokenizers.path("byte_bpe_50k.json"))):
         assert f(none).count() == 0
