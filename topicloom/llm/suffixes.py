@@ -6,7 +6,10 @@ suffixes that begin at minimizers with an equal q-gram can share one. Around eac
 distinct contexts of an anchor are suffix-sorted by mergesort, forwards from the anchor and backwards before it; the
 comparison finds common extensions by binary search over prefix polynomial hashes and verifies them on the bytes. A
 merge of the backward order from the longest common extension down then meets, for each context, every partner that can
-extend its longest repeat. Anchors with more contexts than one task should sort are matched by hashed windows instead.
+extend its longest repeat. Where an anchor has more contexts than one task should sort, longer q-grams around it tell them
+apart first: a repeat holds half of what it has beyond the q-gram on one side at least, so contexts that share neither the
+q-gram lengthened by that much to the left nor to the right share no repeat. Groups that are still too large are matched by
+hashed windows.
 Equal contexts are told by cryptographic digests, for which no two byte strings of one digest are known.
 
 Repeats can be looked for at two lengths at once: at ``length``, and at a shorter one for passages counted in words.
@@ -34,8 +37,8 @@ class Settings:
     passage: int | None = None  # bytes of the repeated strings that passages are made of; None: the length
     words: int = 50  # least words of a passage
     gram: int = 64  # bytes of an anchor
-    sorted_contexts: int = 1000  # distinct contexts of an anchor that one task sorts; more go by hashed windows
-    block: int = 32  # windows of one step of that way
+    sorted_contexts: int = 1000  # distinct contexts that one task sorts; more are told apart by longer q-grams first
+    block: int = 32  # windows of one step of the hashed way
     span: int = 1 << 20  # bytes of a text that are hashed at once
 
     @property
@@ -196,13 +199,12 @@ def _anchor_rows(docs: DataFrame, settings: Settings) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def _contexts(docs: DataFrame, wanted: DataFrame, settings: Settings) -> DataFrame:
-    """The bytes of the wanted contexts, whole for anchors that are sorted and in overlapping blocks for the others.
+_CONTEXT = "anchor long, " + _PLACE + ", lo int, hi int, once int, crowded int, raw binary"
 
-    level 0: a context; else the windows [lo, hi) of a block, relative to the anchor, each of ``level`` bytes, and their bytes.
-    """
-    schema = "anchor long, level int, " + _PLACE + ", lo int, hi int, once int, raw binary"
-    arrow = _by_numpy(schema)
+
+def _contexts(docs: DataFrame, wanted: DataFrame, settings: Settings) -> DataFrame:
+    """The bytes [lo, hi) of the wanted contexts, relative to their anchor."""
+    arrow = _by_numpy(_CONTEXT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -210,14 +212,7 @@ def _contexts(docs: DataFrame, wanted: DataFrame, settings: Settings) -> DataFra
             for doc_id, digest, text, places in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "digest", "raw", "places")), strict=True):
                 for p in places:
                     at, before, after = p["pos"], p["before"], p["after"]
-                    if p["distinct"] <= settings.sorted_contexts:
-                        rows.append((p["anchor"], 0, doc_id, digest, at, -before, after, int(p["n"] == 1), text[at - before : at + after]))
-                        continue
-                    for level in settings.levels:
-                        for lo in range(-before // settings.block * settings.block, after - level + 1, settings.block):
-                            a, b = max(lo, -before), min(lo + settings.block, after - level + 1)
-                            if a < b:
-                                rows.append((p["anchor"], level, doc_id, digest, at, a, b, int(p["n"] == 1), text[at + a : at + b - 1 + level]))
+                    rows.append((p["anchor"], doc_id, digest, at, -before, after, int(p["n"] == 1), int(p["distinct"] > settings.sorted_contexts), text[at - before : at + after]))
                     if len(rows) > 20_000:
                         yield _batch(rows, arrow)
                         rows = []
@@ -226,7 +221,7 @@ def _contexts(docs: DataFrame, wanted: DataFrame, settings: Settings) -> DataFra
     places = wanted.groupBy("doc_id", "digest").agg(F.collect_list(F.struct("anchor", "pos", "before", "after", "n", "distinct")).alias("places"))
     d, p = docs.alias("d"), places.alias("p")
     joined = d.join(p, F.col("d.digest").eqNullSafe(F.col("p.digest")) & F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")))
-    return joined.select("d.doc_id", "d.digest", "d.raw", "p.places").mapInArrow(run, schema)
+    return joined.select("d.doc_id", "d.digest", "d.raw", "p.places").mapInArrow(run, _CONTEXT)
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -272,6 +267,33 @@ def _held_twice(rows: DataFrame, key: list[str], label: str) -> DataFrame:
     return rows.join(twice, key)
 
 
+def _told_apart(crowded: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame]:
+    """(contexts in groups that one task can sort, blocks of windows of the others) of contexts whose anchors have too many.
+
+    The q-gram is made longer to the left and to the right by half of what a repeat has beyond it. Only contexts that share
+    one of the two with another go on, in that group.
+    """
+    more = -(-(settings.levels[-1] - settings.gram) // 2)
+    side = F.explode(F.array(F.struct(F.lit(-more).alias("l"), F.lit(settings.gram).alias("r")), F.struct(F.lit(0).alias("l"), F.lit(settings.gram + more).alias("r"))))
+    longer = crowded.withColumn("side", side).where("side.l >= lo AND side.r <= hi")
+    gram = F.substring("raw", F.col("side.l") - F.col("lo") + 1, F.col("side.r") - F.col("side.l"))
+    longer = longer.withColumn("group", F.sha2(F.concat(F.concat_ws(":", "anchor", "side.l", F.lit("")).cast("binary"), gram), 256)).drop("side")
+    held = stored(longer.join(_counted(longer.select("group"), "groups"), "group"), "told-apart")
+    small = held.where(F.col("n") <= settings.sorted_contexts).withColumn("anchor", F.xxhash64("group")).drop("group", "n")
+    many = held.where(F.col("n") > settings.sorted_contexts).drop("group", "n").dropDuplicates(["anchor", "doc_id", "digest", "pos"])
+    levels = many.withColumn("level", F.explode(F.array(*map(F.lit, settings.levels)))).where(F.col("hi") - F.col("lo") >= F.col("level"))
+    begin, last = F.floor(F.col("lo") / settings.block) * settings.block, F.col("hi") - F.col("level")
+    blocks = levels.withColumn("at", F.explode(F.sequence(begin, last.cast("long"), F.lit(settings.block).cast("long"))))
+    blocks = blocks.withColumn("a", F.greatest("at", "lo").cast("int")).withColumn("b", F.least(F.col("at") + settings.block, last + 1).cast("int"))
+    raw = F.substring("raw", F.col("a") - F.col("lo") + 1, F.col("b") - 1 + F.col("level") - F.col("a"))
+    return small, blocks.select("anchor", "level", "doc_id", "digest", "pos", F.col("a").alias("lo"), F.col("b").alias("hi"), "once", raw.alias("raw"))
+
+
+def _counted(keys: DataFrame, label: str) -> DataFrame:
+    """The keys that more than one row has, and how many rows (n)."""
+    return stored(keys.groupBy(*keys.columns).agg(F.count("*").alias("n")).where("n > 1"), label)
+
+
 def _hashed_repeats(blocks: DataFrame, settings: Settings) -> list[DataFrame]:
     """Repeats of the contexts of anchors with too many of them, by hashes of blocks of windows.
 
@@ -313,10 +335,13 @@ def repeats(keyed: DataFrame, settings: Settings = Settings()) -> DataFrame:
     wanted = classes.join(several, "anchor").select("anchor", "one.*", "n", "distinct")
     rows = stored(_contexts(keyed, wanted, settings), "contexts")
     released(spark)
-    parts.append(_sorted_repeats(rows.where("level = 0"), settings, tasks))
-    blocks = rows.where("level > 0")
-    if not blocks.isEmpty():
-        parts += _hashed_repeats(blocks, settings)
+    sortable, crowded = rows.where("crowded = 0"), rows.where("crowded = 1")
+    if not crowded.isEmpty():
+        small, blocks = _told_apart(crowded, settings)
+        sortable = sortable.unionByName(small)
+        if not blocks.isEmpty():
+            parts += _hashed_repeats(blocks, settings)
+    parts.append(_sorted_repeats(sortable, settings, tasks))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
