@@ -112,6 +112,109 @@ def test_quoted_lines_and_short_sentences_link(spark):
     assert got == {0: (None, False, 0), 1: (0, False, 1), 2: (1, False, 2), 3: (0, True, 1), 4: (1, True, 2), 5: (0, True, 1), 6: (1, True, 2)}
 
 
+def test_pages_of_every_kind(spark):
+    from topicloom.llm.html_extract import main_text
+
+    schema = "page_id long, url string, html string, text int, n_chars string"
+    long = "<html><body><nav><a href=/>Home</a></nav><article>" + "".join(f"<p>Paragraph number {k} tells of the matter at hand, and of more.</p>" for k in range(3000)) + "</article></body></html>"
+    rows = [(1, "u", long, 1, "x"), (1, "u", long, 1, "x"), (2, None, "plain text without any markup at all", 2, None), (3, "u", "<div>" * 2000 + "deep" + "</div>" * 2000, 3, "y"), (4, "u", "\x00<\ufffd&#0;&bogus;&#x110000;", 4, "z")]
+    got = main_text(spark.createDataFrame(rows, schema)).collect()
+    assert len(got) == 5 and all(g["n_chars"] == len(g["text"]) for g in got)
+    one, other = (g for g in got if g["page_id"] == 1)
+    assert one == other and one["text"].startswith("Paragraph number 0 tells") and one["text"].count("Paragraph number") == 3000
+    assert main_text(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_empty_repeated_and_clashing_rows(spark):
+    from topicloom.llm.quotes import linked_conversations
+    from topicloom.llm.toxicity import Settings, toxicity, without_toxic
+    from topicloom.llm.vector_graph import embedding_groups
+
+    schema = "conv_id long, turn long, role string, text string, depth string, reply_to int, position int, linked int"
+    rows = [(1, 0, "a", "First message of all.", "x", 1, 1, 1), (1, 1, "b", "> First message of all.\nYes.", "x", 1, 1, 1), (1, 1, "b", "> First message of all.\nYes.", "x", 1, 1, 1)]
+    got = linked_conversations(spark.createDataFrame(rows, schema)).collect()
+    assert len(got) == 3 and {g["text"] for g in got} == {"First message of all.", "Yes."} and sorted(g["position"] for g in got) == [0, 1, 2]
+    assert linked_conversations(spark.createDataFrame([], schema)).count() == 0
+    docs = spark.createDataFrame([(1, "some text", 3.0, "l"), (1, "some text", 3.0, "l"), (None, None, None, None)], "doc_id long, text string, score double, held_out string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (None, 1), (3, None)], "doc_id long, toxic int")
+    got = toxicity(docs, labels, Settings()).collect()
+    assert len(got) == 3 and len({(g["score"], g["held_out"]) for g in got if g["doc_id"] == 1}) == 1
+    assert toxicity(docs.limit(0), labels).count() == without_toxic(docs.limit(0), labels).count() == 0
+    vectors = spark.createDataFrame([(1, [1.0, 0.0], 5, "k"), (2, [1.0, 0.01], 5, "k"), (3, [0.0, 1.0], 5, "k")], "vec_id long, embedding array<double>, n_links int, kept string")
+    assert {(g["vec_id"], g["n_links"], g["component_id"], g["kept"]) for g in embedding_groups(vectors).collect()} == {(1, 1, 1, True), (2, 1, 1, False), (3, 0, 3, True)}
+
+
+def test_pipeline_equals_brute_force(spark, tmp_path):
+    """The whole run against plain code, but for the learnt scores, on repeated, null and awkward rows."""
+    import zlib
+    from collections import Counter, defaultdict
+
+    import corpus_pipeline
+    import public_tokenizers
+    from tokenizers import Tokenizer
+    from topicloom.llm.simhash import fingerprint
+    from topicloom.llm.toxicity import toxicity
+
+    r = random.Random(6)
+    word = lambda: "".join(r.choice(["an", "ber", "lo", "ti", "ou", "sch", "ka", "mi"]) for _ in range(r.randint(2, 4)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    passage, item, short = prose(60), prose(40), prose(45)
+    texts = [prose(r.randint(5, 200)) for _ in range(30)]
+    texts += [texts[0], texts[0], f"{prose(60)} {passage} {prose(40)}", f"{prose(60)} {passage} {prose(30)}", f"{prose(50)} {short} {prose(20)}", f"{short} {prose(50)}", f"{prose(80)} {item} {prose(20)}"]
+    texts += [f"{prose(40)} vileword grouped {prose(10)}" for _ in range(60)] + [None, "", "naïve ＴＥＸＴ", prose(3000)]
+    rows = [(k, t, "en", "s", 1) for k, t in enumerate(texts)]
+    rows += [rows[5], (None, texts[7] + " more of it", "en", "s", 1), (None, prose(30), "en", "s", 1), (None, prose(25), "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(k, int("vileword" in (t or ""))) for k, t in enumerate(texts)], "doc_id long, toxic int")
+    sf = f"file://{tmp_path}"
+    for name, t in (("documents", docs), ("labels", labels), ("benchmark", spark.createDataFrame([(1, item), (2, None)], "item_id long, text string"))):
+        t.write.parquet(f"{sf}/{name}.parquet")
+    bad = {g["doc_id"] for g in toxicity(docs, labels).where("predicted = 1").collect()}
+    assert 50 < len(bad) < 70
+    left = [x for x in rows if x[0] not in bad]
+    prints = [fingerprint((x[1] or "").encode()) for x in left]
+    group = list(range(len(left)))
+    for i in range(len(left)):
+        for j in range(i):
+            if (prints[i] ^ prints[j]).bit_count() <= 4 and group[i] != group[j]:
+                group = [group[j] if g == group[i] else g for g in group]
+    by = defaultdict(list)
+    for x, g in zip(left, group):
+        by[g].append(x)
+    left = [min(g, key=lambda x: (x[0] is None, x[0] or 0)) for g in by.values()]
+    raw = [(x[1] or "").encode() for x in left]
+    seen = Counter(t[k : k + 280] for t in raw for k in range(len(t) - 279))
+    kept = []
+    for t in raw:
+        gone = bytearray(len(t))
+        for k in range(len(t) - 279):
+            if seen[t[k : k + 280]] > 1:
+                gone[k : k + 280] = b"\1" * 280
+        k, out = 0, b""
+        while k < len(t):
+            end = k
+            while end < len(t) and gone[end] == gone[k]:
+                end += 1
+            if not gone[k] or len(t[k:end].split()) < 50:
+                out += t[k:end]
+            k = end
+        kept.append(out.decode("utf-8", "ignore"))
+    assert sum(passage in (x[1] or "") for x in left) == 2 and not any(passage in t for t in kept) and sum(short in t for t in kept) == 2
+    final = [(x[0], t) for x, t in zip(left, kept) if item not in t]
+    assert len(final) == len(left) - 1
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    tokenizer.encode_special_tokens = True
+    want = Counter()
+    for doc_id, t in final:
+        ids = [*tokenizer.encode(t, add_special_tokens=False).ids, 2]
+        first = len(ids) if len(ids) <= 1024 else len(ids) % 1024 or 1024
+        cuts = [0, *range(first, len(ids), 1024), len(ids)]
+        for n, (a, b) in enumerate(zip(cuts, cuts[1:])):
+            want[str(doc_id), n, a, b - a, zlib.crc32(np.array(ids[a:b], "<u4").tobytes())] += 1
+    got = corpus_pipeline.run(spark, sf).collect()
+    assert Counter((str(g["doc_id"]), g["piece"], g["start"], g["length"], g["ids_crc32"]) for g in got) == want
+
+
 def test_pipeline_stages_equal_their_operators(spark, tmp_path):
     import corpus_pipeline
     from topicloom.llm.common import table

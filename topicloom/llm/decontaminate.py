@@ -11,13 +11,13 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _WORD = re.compile(r"[^\W_]+")
@@ -29,7 +29,8 @@ class Settings:
     answer_share: float = 0.5  # least share of its answer's words in order in the same place
     half: int = 32  # words; windows span two halves and each is confirmed with a half more on either side
     passage: int = 64  # words of a benchmark passage: longer items are cut
-    block: int = 256  # passages whose latent space is built at once, and its rank: none of their directions is lost
+    block: int = 256  # passages whose latent space is built at once
+    rank: int = 128  # of that space
     common: float = 0.02  # share of documents from which on a word is common
 
 
@@ -141,8 +142,9 @@ class Index:
     def __post_init__(self):
         self.least = np.array([self.settings.share * len(p.words) for p in self.block])
 
-    def search(self, text: str | None) -> list[tuple[int, float, float, int]]:
-        """(item_id, cosine, share, first word) of the best confirmed place of each item in a whole text."""
+    def search(self, text: str | None, one: bool = False) -> list[tuple[int, float, float, int]]:
+        """(item_id, cosine, share, first word) of the best confirmed place of each item in a whole text; with ``one``, of
+        the first place that is confirmed alone."""
         s, w = self.settings, words(text)
         if not w:
             return []
@@ -186,6 +188,8 @@ class Index:
                     continue
                 hit = (n / len(passage.words), float(cosines[row, k]), -first)
                 best[passage.item_id] = max(best.get(passage.item_id, hit), hit)
+                if one:
+                    return [(passage.item_id, hit[1], hit[0], -hit[2])]
         return [(item, cosine, share, -first) for item, (share, cosine, first) in best.items()]
 
 
@@ -197,7 +201,7 @@ def build(spark: SparkSession, block: list[Passage], docs: DataFrame, settings:
     for p in block:
         tf = Counter(vocabulary[w] for w in p.words)
         rows.append((list(tf), [c * float(idf[t]) for t, c in tf.items()]))
-    space = randomized_svd(spark, rows, len(vocabulary), min(settings.block, len(block), len(vocabulary)))
+    space = randomized_svd(spark, rows, len(vocabulary), min(settings.rank, len(block), len(vocabulary)))
     items = np.array([np.array(val) @ space[idx] for idx, val in rows])
     items /= np.maximum(np.linalg.norm(items, axis=1, keepdims=True), 1e-300)
     uncommon = counts < settings.common * max(n, 1)
@@ -235,7 +239,28 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, settings: Settings = Set
     return out
 
 
+def _held_in(shared) -> Callable[[Column], Column]:
+    """Whether a text holds an item of a broadcast index."""
+
+    @F.pandas_udf("boolean")
+    def held(text):
+        import pandas as pd
+
+        index = shared.value
+        return pd.Series([bool(index.search(t, one=True)) for t in text], dtype=bool)
+
+    return held
+
+
 def decontaminated(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """The rows of ``docs``, all columns, in which no benchmark item is found; rows whose doc_id is null stay."""
-    hit = contaminated(docs, benchmark, settings).select(F.col("doc_id").alias("_hit_id")).distinct()
-    return docs.join(hit, docs["doc_id"] == hit["_hit_id"], "left_anti")
+    """The rows of ``docs``, all columns, in whose text no benchmark item is found.
+
+    Every row is judged by its own text, whatever its id: null and repeated ids are no exception. Null and empty texts
+    stay; an empty table on either side changes nothing. Rows are filtered where they are, without a shuffle.
+    """
+    spark, out = docs.sparkSession, docs
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    for block in passages(spark, benchmark, settings):
+        shared = spark.sparkContext.broadcast(build(spark, block, texts, settings))  # a block's size, not the benchmark's
+        out = out.where(~_held_in(shared)(F.col("text")))
+    return out

@@ -32,7 +32,7 @@ def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from topicloom.llm.suffixes import Settings, suffix_dedup
 
-    return suffix_dedup(table(spark, sf_dir, "documents"), Settings(length=400, passage=250, words=50))
+    return suffix_dedup(table(spark, sf_dir, "documents"), Settings(length=400, passage=280, words=50))
 
 
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

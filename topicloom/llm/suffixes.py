@@ -36,7 +36,7 @@ class Settings:
     length: int = 400  # bytes of a repeated string
     passage: int | None = None  # bytes of the repeated strings that passages are made of; None: the length
     words: int = 50  # least words of a passage
-    gram: int = 64  # bytes of an anchor
+    gram: int = 128  # bytes of an anchor
     sorted_contexts: int = 1000  # distinct contexts that one task sorts; more are told apart by longer q-grams first
     block: int = 32  # windows of one step of the hashed way
     span: int = 1 << 20  # bytes of a text that are hashed at once
@@ -95,13 +95,14 @@ class Extensions:
     """Common extensions of byte strings from their beginning, by binary search over prefix hashes."""
 
     def __init__(self, strings: list[bytes]):
-        self.strings = strings
-        powers = _powers(max(map(len, strings), default=0) + 1)[0]
-        self.prefixes = [np.cumsum((np.frombuffer(s, np.uint8).astype(np.uint64) + np.uint64(1)) * powers[: len(s)], dtype=np.uint64).tolist() for s in strings]
+        self.strings, width = strings, max(map(len, strings), default=0)
+        flat = np.frombuffer(b"".join(s.ljust(width, b"\0") for s in strings), np.uint8).reshape(len(strings), width)
+        sums = np.cumsum((flat + np.uint64(1)) * _powers(width + 1)[0][:width], axis=1, dtype=np.uint64)
+        self.prefixes = sums.tolist() if len(strings) > 16 else list(sums)  # lists are read faster, and made slower
 
     def common(self, i: int, j: int) -> int:
         a, b = self.prefixes[i], self.prefixes[j]
-        low, high = 0, min(len(a), len(b))
+        low, high = 0, min(len(self.strings[i]), len(self.strings[j]))
         while low < high:  # the prefix of low bytes is common, that of high + 1 isn't
             mid = (low + high + 1) // 2
             if a[mid - 1] == b[mid - 1]:
@@ -129,6 +130,9 @@ def longest_repeats(contexts: list[bytes], lefts: list[int], lengths: tuple[int,
     length or more cover; (0, 0) if none."""
     forward = Extensions([c[n:] for c, n in zip(contexts, lefts, strict=True)])
     backward = Extensions([c[:n][::-1] for c, n in zip(contexts, lefts, strict=True)])
+    if len(contexts) == 2:  # nothing to order
+        before, after = backward.common(0, 1), forward.common(0, 1)
+        return [[(before, after) if before + after >= length else (0, 0)] * 2 for length in lengths]
     ranked = forward.order()
     rank = {i: r for r, i in enumerate(ranked)}
     order = backward.order()

@@ -33,8 +33,10 @@ class Settings:
     degree: int = 24
     alpha: float = 1.2
     beam: int = 24
+    step: int = 12  # members that a search expands at a time
     audited: int = 1000  # vectors with ids divisible by 100 whose links are counted by brute force too
     recall: float = 0.9  # least recall of the audit; below, the index is built wider
+    builds: int = 5  # at most; if the last is still below, that is an error
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -117,17 +119,20 @@ def search(x: np.ndarray, lists: np.ndarray, entries: np.ndarray, queries: np.nd
     expanded = np.zeros((nq, n + 1), bool)
     rows = np.arange(nq)[:, None]
     sims[rows, entries] = np.einsum("qd,qed->qe", queries, x[entries])
-    step = min(4, n)
+    step, beam = min(settings.step, n), min(settings.beam, n) - 1
+    active = np.arange(nq)  # a query that has nothing left to expand is done with
     while True:
-        open_sims = np.where(expanded[:, :n], -2.0, sims[:, :n])
+        own = sims[active, :n]
+        open_sims = np.where(expanded[active, :n], -2.0, own)
         best = np.argpartition(-open_sims, step - 1, 1)[:, :step]
         value = np.take_along_axis(open_sims, best, 1)
-        bar = -np.partition(-sims[:, :n], min(settings.beam, n) - 1, 1)[:, min(settings.beam, n) - 1]
+        bar = -np.partition(-own, beam, 1)[:, beam]
         chosen = (value > -2) & ((value >= bar[:, None]) | (value >= settings.cosine))
-        active = np.flatnonzero(chosen.any(1))
+        going = chosen.any(1)
+        active, best, chosen = active[going], best[going], chosen[going]
         if not len(active):
             return sims[:, :n]
-        mine = np.where(chosen[active], best[active], n)
+        mine = np.where(chosen, best, n)
         expanded[active[:, None], mine] = True
         next_to = np.where((mine < n)[:, :, None], lists[np.minimum(mine, n - 1)], -1).reshape(len(active), -1)
         next_to = np.where(next_to < 0, n, next_to)
@@ -293,12 +298,13 @@ def _as_asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _rows([(r["shard"], 2, r["id"], 0, 0, r["raw"], np.array([r["entry"]], np.int64).tobytes()) for r in rows])
 
 
-def audit(spark: SparkSession, kinds: DataFrame, counts: DataFrame, settings: Settings) -> tuple[int, int]:
-    """(links found, links there are) of a bounded set of vectors, the latter by brute force over all vectors."""
+def audit(spark: SparkSession, kinds: DataFrame, counts: DataFrame, settings: Settings) -> float:
+    """Recall of a bounded set of vectors' links, which brute force over all vectors counts: over all of their links, or on
+    the average of a vector that has any, whichever is less."""
     drawn = kinds.where("id % 100 = 0").orderBy(F.xxhash64("id"), "id").limit(settings.audited).select("id", "raw").toArrow()
     ids, raw = drawn.column("id").to_numpy(), drawn.column("raw").to_pylist()
     if not len(ids):
-        return 0, 0
+        return 1.0
     queries = spark.sparkContext.broadcast((ids, unit(_matrix(raw))))  # at most ``audited`` vectors
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -312,8 +318,9 @@ def audit(spark: SparkSession, kinds: DataFrame, counts: DataFrame, settings: Se
         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(totals)], ["id", "n"])
 
     truth = kinds.select("id", "raw", "n").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
-    row = truth.join(counts, "id", "left").agg(F.sum(F.least(F.coalesce("n_links", F.lit(0)), "n")), F.sum("n")).first()
-    return int(row[0] or 0), int(row[1] or 0)
+    met = truth.where("n > 0").join(counts, "id", "left").withColumn("found", F.least(F.coalesce("n_links", F.lit(0)), "n"))
+    row = met.agg(F.sum("found") / F.sum("n"), F.avg(F.col("found") / F.col("n"))).first()
+    return 1.0 if row[0] is None else min(row)
 
 
 def embedding_groups(vectors: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -323,7 +330,8 @@ def embedding_groups(vectors: DataFrame, settings: Settings = Settings()) -> Dat
     non-finite components, have no links and are kept; vectors of different lengths never link. A null vec_id stays
     null, links like any other, and is kept only without a smaller id in its component; rows that repeat an id count
     each as a vector. An empty table gives no rows; other columns are never looked at. If the audit finds less than
-    the least recall, the index is built again with one more shard per vector and twice the beam.
+    the least recall, the index is built again with one more shard per vector and twice the beam, and it is an error if
+    that does not help.
     """
     spark = vectors.sparkSession
     tasks = shuffle_partitions(spark)
@@ -342,13 +350,14 @@ def embedding_groups(vectors: DataFrame, settings: Settings = Settings()) -> Dat
     out = []
     for size, count in [tuple(r) for r in kinds.groupBy("size").count().collect()]:
         own, wide = kinds.where(F.col("size") == size), settings
-        for _ in range(3):
+        for build_no in range(settings.builds):
             counts, links = _linked(spark, own, count, tasks, wide)
             counts = stored(counts, "counts")
-            found, there = audit(spark, own, counts, wide)
-            recall = found / there if there else 1.0
+            recall = audit(spark, own, counts, wide)
             if recall >= settings.recall:
                 break
+            if build_no == settings.builds - 1:
+                raise RuntimeError(f"recall is {recall:.3f} after {settings.builds} builds of the index")
             wide = replace(wide, overlap=wide.overlap + 1, beam=2 * wide.beam, candidates=2 * wide.candidates)
         groups = stored(components(links), "components")
         named = own.join(counts, "id", "left").join(groups.withColumnRenamed("node", "id"), "id", "left")
