@@ -66,16 +66,18 @@ def is_valid(v: Column, dimension: int | None = None) -> Column:
     return F.coalesce(v.isNotNull() & (F.size(v) > 0) & right & finite, F.lit(False))
 
 
-def _pooled(chunks: DataFrame, key: str, weight: Column | None, vector: str) -> DataFrame:
-    """(key, vector, raw_norm): weighted mean of each key's vectors, brought to unit length.
+def mean_of(vector: Column, weight: Column | None = None) -> Column:
+    """Aggregate: the weighted mean of vectors. They are added up whole, in each task before anything moves."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
 
-    Vectors are summed dimension by dimension, which combines before the shuffle whatever a key's number of chunks.
-    """
-    w = F.lit(1.0) if weight is None else weight
-    flat = chunks.select(key, w.alias("_w"), F.posexplode(widened(F.col(vector))).alias("_d", "_x"))
-    sums = flat.groupBy(key, "_d").agg((F.sum(F.col("_w") * F.col("_x")) / F.sum("_w")).alias("_x"))
-    mean = F.transform(F.array_sort(F.collect_list(F.struct("_d", "_x"))), lambda s: s["_x"])
-    return sums.groupBy(key).agg(mean.alias("_mean")).select(key, normalise(F.col("_mean")).alias(vector), norm(F.col("_mean")).alias("raw_norm"))
+    return vector_to_array(Summarizer.mean(array_to_vector(widened(vector)), F.lit(1.0) if weight is None else weight))
+
+
+def _pooled(chunks: DataFrame, key: str, weight: Column | None, vector: str) -> DataFrame:
+    """(key, vector, raw_norm): weighted mean of each key's vectors, brought to unit length."""
+    means = chunks.groupBy(key).agg(mean_of(F.col(vector), weight).alias("_mean"))
+    return means.select(key, normalise(F.col("_mean")).alias(vector), norm(F.col("_mean")).alias("raw_norm"))
 
 
 def mean_pool(chunks: DataFrame, key: str, vector: str = "vector") -> DataFrame:
