@@ -37,7 +37,7 @@ class Settings:
     passage: int | None = None  # bytes of the repeated strings that passages are made of; None: the length
     words: int = 50  # least words of a passage
     gram: int = 128  # bytes of an anchor
-    sorted_contexts: int = 1000  # distinct contexts that one task sorts; more are told apart by longer q-grams first
+    sorted_contexts: int = 4000  # distinct contexts that one task sorts; more are told apart by longer q-grams first
     block: int = 32  # windows of one step of the hashed way
     span: int = 1 << 20  # bytes of a text that are hashed at once
 
@@ -98,7 +98,7 @@ class Extensions:
         self.strings, width = strings, max(map(len, strings), default=0)
         flat = np.frombuffer(b"".join(s.ljust(width, b"\0") for s in strings), np.uint8).reshape(len(strings), width)
         sums = np.cumsum((flat + np.uint64(1)) * _powers(width + 1)[0][:width], axis=1, dtype=np.uint64)
-        self.prefixes = sums.tolist() if len(strings) > 16 else list(sums)  # lists are read faster, and made slower
+        self.prefixes = sums.tolist() if 16 < len(strings) <= 512 else list(sums)  # lists are read faster, but made slower and larger
 
     def common(self, i: int, j: int) -> int:
         a, b = self.prefixes[i], self.prefixes[j]
