@@ -8,8 +8,8 @@ comparison finds common extensions by binary search over prefix polynomial hashe
 merge of the backward order from the longest common extension down then meets, for each context, every partner that can
 extend its longest repeat. Where an anchor has more contexts than one task should sort, longer q-grams around it tell them
 apart first: a repeat holds half of what it has beyond the q-gram on one side at least, so contexts that share neither the
-q-gram lengthened by that much to the left nor to the right share no repeat. Groups that are still too large are matched by
-hashed windows.
+q-gram lengthened by that much to the left nor to the right share no repeat. In groups that are still too large, contexts are cut to what
+their neighbours in suffix order share with them on either side, and one of each kind is matched by hashed windows.
 Equal contexts are told by cryptographic digests, for which no two byte strings of one digest are known.
 
 Repeats can be looked for at two lengths at once: at ``length``, and at a shorter one for passages counted in words.
@@ -25,7 +25,7 @@ from functools import cmp_to_key, lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from topicloom.llm.common import dropped, released, stored
@@ -272,7 +272,7 @@ def _held_twice(rows: DataFrame, key: list[str], label: str) -> DataFrame:
 
 
 def _told_apart(crowded: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame]:
-    """(contexts in groups that one task can sort, blocks of windows of the others) of contexts whose anchors have too many.
+    """(contexts in groups that one task can sort, the others once each) of contexts whose anchors have too many.
 
     The q-gram is made longer to the left and to the right by half of what a repeat has beyond it. Only contexts that share
     one of the two with another go on, in that group.
@@ -285,12 +285,88 @@ def _told_apart(crowded: DataFrame, settings: Settings) -> tuple[DataFrame, Data
     held = stored(longer.join(_counted(longer.select("group"), "groups"), "group"), "told-apart")
     small = held.where(F.col("n") <= settings.sorted_contexts).withColumn("anchor", F.xxhash64("group")).drop("group", "n")
     many = held.where(F.col("n") > settings.sorted_contexts).drop("group", "n").dropDuplicates(["anchor", "doc_id", "digest", "pos"])
-    levels = many.withColumn("level", F.explode(F.array(*map(F.lit, settings.levels)))).where(F.col("hi") - F.col("lo") >= F.col("level"))
+    return small, stored(many, "many")
+
+
+_HALVES = "anchor long, " + _PLACE + ", once int, ahead binary, behind binary"
+
+
+def _common(a: bytes, b: bytes) -> int:
+    """Bytes that two strings share from their beginning."""
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        mid = (low + high + 1) // 2
+        if a[:mid] == b[:mid]:
+            low = mid
+        else:
+            high = mid - 1
+    return low
+
+
+def _backwards(raw: Column) -> Column:
+    """The bytes in reverse; this code page has a character for each byte."""
+    return F.encode(F.reverse(F.decode(raw, "ISO-8859-1")), "ISO-8859-1")
+
+
+def _halves(contexts: DataFrame) -> DataFrame:
+    """The contexts' bytes from the anchor, and those before it from the anchor backwards."""
+    ahead = F.substring("raw", 1 - F.col("lo"), F.col("hi")).alias("ahead")
+    return contexts.select("anchor", "doc_id", "digest", "pos", "once", ahead, _backwards(F.substring("raw", F.lit(1), -F.col("lo"))).alias("behind"))
+
+
+def _cut_to_shared(halves: DataFrame, side: str, tasks: int) -> DataFrame:
+    """One side of each context cut to the longest beginning that another context of its anchor has too.
+
+    In suffix order that is one of the two neighbours. The order is dealt out by ranges, so a task's first and last rows may
+    have theirs in other tasks; they stay whole.
+    """
+    arrow, at = _by_numpy(_HALVES), halves.columns.index(side)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple | None = None
+        kept = 0  # bytes that the last row shares with the one before
+        for batch in batches:
+            out: list[tuple] = []
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                shared = len(row[at])
+                if last is not None:
+                    shared = _common(last[at], row[at]) if last[0] == row[0] else 0
+                    out.append((*last[:at], last[at][: max(kept, shared)], *last[at + 1 :]))
+                last, kept = row, shared
+            yield _batch(out, arrow)
+        yield _batch([last] if last is not None else [], arrow)
+
+    order = ["anchor", side, *({"ahead", "behind"} - {side}), "doc_id", "digest", "pos"]
+    return halves.repartitionByRange(tasks, *order).sortWithinPartitions(*order).mapInArrow(run, _HALVES)
+
+
+def _trimmed(many: DataFrame, settings: Settings, tasks: int) -> tuple[DataFrame, DataFrame]:
+    """(repeats, contexts that are left) of contexts in groups that one task can't sort.
+
+    What no other context of the anchor shares on a side belongs to no repeat, so it is cut off, whatever is behind it.
+    Contexts that are equal then are repeats as they stand and can't have longer ones; one of each kind is left.
+    """
+    cut = _cut_to_shared(_cut_to_shared(_halves(many), "ahead", tasks), "behind", tasks)
+    cut = cut.withColumn("lo", -F.length("behind")).withColumn("hi", F.length("ahead")).where(F.col("hi") - F.col("lo") >= settings.levels[-1])
+    cut = cut.withColumn("raw", F.concat(_backwards(F.col("behind")), "ahead")).drop("behind", "ahead")
+    live = stored(cut.withColumn("whole", F.sha2(F.concat(F.col("lo").cast("string").cast("binary"), F.lit(b":"), F.col("raw")), 256)), "trimmed")
+    key = ["anchor", "whole"]
+    kinds = stored(live.groupBy(key).agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "digest", "pos", "lo", "hi", "once", "raw")).alias("one")), "trimmed-kinds")
+    level = F.when(F.col("hi") - F.col("lo") >= settings.length, settings.length).otherwise(settings.levels[-1]).alias("level")
+    equal = live.where("once = 1").join(kinds.where("n > 1").select(key), key)
+    found = equal.select("doc_id", "digest", (F.col("pos") + F.col("lo")).alias("start"), (F.col("pos") + F.col("hi")).alias("stop"), level)
+    left = kinds.select("anchor", "n", "one.*").withColumn("once", F.when(F.col("n") > 1, 0).otherwise(F.col("once"))).drop("n")
+    return found, left
+
+
+def _blocks(contexts: DataFrame, settings: Settings) -> DataFrame:
+    """Blocks of windows of the contexts, at each level."""
+    levels = contexts.withColumn("level", F.explode(F.array(*map(F.lit, settings.levels)))).where(F.col("hi") - F.col("lo") >= F.col("level"))
     begin, last = F.floor(F.col("lo") / settings.block) * settings.block, F.col("hi") - F.col("level")
     blocks = levels.withColumn("at", F.explode(F.sequence(begin, last.cast("long"), F.lit(settings.block).cast("long"))))
     blocks = blocks.withColumn("a", F.greatest("at", "lo").cast("int")).withColumn("b", F.least(F.col("at") + settings.block, last + 1).cast("int"))
     raw = F.substring("raw", F.col("a") - F.col("lo") + 1, F.col("b") - 1 + F.col("level") - F.col("a"))
-    return small, blocks.select("anchor", "level", "doc_id", "digest", "pos", F.col("a").alias("lo"), F.col("b").alias("hi"), "once", raw.alias("raw"))
+    return blocks.select("anchor", "level", "doc_id", "digest", "pos", F.col("a").alias("lo"), F.col("b").alias("hi"), "once", raw.alias("raw"))
 
 
 def _counted(keys: DataFrame, label: str) -> DataFrame:
@@ -341,10 +417,11 @@ def repeats(keyed: DataFrame, settings: Settings = Settings()) -> DataFrame:
     released(spark)
     sortable, crowded = rows.where("crowded = 0"), rows.where("crowded = 1")
     if not crowded.isEmpty():
-        small, blocks = _told_apart(crowded, settings)
+        small, many = _told_apart(crowded, settings)
         sortable = sortable.unionByName(small)
-        if not blocks.isEmpty():
-            parts += _hashed_repeats(blocks, settings)
+        if not many.isEmpty():
+            found, left = _trimmed(many, settings, tasks)
+            parts += [found, *_hashed_repeats(_blocks(left, settings), settings)]
     parts.append(_sorted_repeats(sortable, settings, tasks))
     out = parts[0]
     for part in parts[1:]:
