@@ -132,6 +132,32 @@ def test_crowded_passage_is_cut_to_what_others_share_before_windows(spark, monke
     assert made and made[0][0] < 9 * made[0][1]  # whole contexts have 18 blocks and more
 
 
+def test_crowded_passage_is_settled_in_chunks_without_windows(spark, monkeypatch):
+    from topicloom.llm import suffixes
+    from topicloom.llm.suffixes import Settings, suffix_dedup
+
+    r = random.Random(5)
+    prose = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    passage, heads, tails = prose(380), [prose(300) for _ in range(40)], [prose(300) for _ in range(40)]
+    texts = [prose(300) + passage + prose(300) for _ in range(110)]  # under 400 bytes alone
+    texts += [prose(300 - k) + h[-k:] + passage + prose(300) for k, h in enumerate(heads, 1)]
+    texts += [prose(300 - k) + h[-k:] + passage + prose(300) for k, h in enumerate(heads, 1)]
+    texts += [prose(300) + passage + t[:k] + prose(300 - k) for k, t in enumerate(tails, 1) for _ in range(2)]
+    windows = []
+
+    def watched(blocks, settings, whole=suffixes._hashed_repeats):
+        windows.append(blocks.count())
+        return whole(blocks, settings)
+
+    monkeypatch.setattr(suffixes, "_hashed_repeats", watched)
+    raw = [t.encode() for t in texts]
+    want = [(k, len(t) - len(cut_out(t, runs)), len(runs), hashlib.sha256(cut_out(t, runs)).hexdigest()) for k, (t, runs) in enumerate(zip(raw, covered(raw, 400)))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [(r["doc_id"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup(docs, Settings(sorted_contexts=150, passage=280)).collect()]
+    assert sorted(got) == want and any(w[1] for w in want) and not all(w[1] for w in want)
+    assert not windows
+
+
 def test_passages_of_fifty_words_go_and_shorter_ones_stay(spark, docs, rows):
     from topicloom.llm.suffixes import Settings, without_passages
 

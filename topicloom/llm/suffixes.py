@@ -8,8 +8,9 @@ comparison finds common extensions by binary search over prefix polynomial hashe
 merge of the backward order from the longest common extension down then meets, for each context, every partner that can
 extend its longest repeat. Where an anchor has more contexts than one task should sort, longer q-grams around it tell them
 apart first: a repeat holds half of what it has beyond the q-gram on one side at least, so contexts that share neither the
-q-gram lengthened by that much to the left nor to the right share no repeat. In groups that are still too large, contexts are cut to what
-their neighbours in suffix order share with them on either side, and one of each kind is matched by hashed windows.
+q-gram lengthened by that much to the left nor to the right share no repeat. Groups that are still too large are sorted in chunks of their suffix order, ahead and then
+backwards; contexts are cut to what other chunks share with them, which leaves few kinds, and one of each kind goes on. Where kinds
+stay too many, they are matched by hashed windows.
 Equal contexts are told by cryptographic digests, for which no two byte strings of one digest are known.
 
 Repeats can be looked for at two lengths at once: at ``length``, and at a shorter one for passages counted in words.
@@ -22,10 +23,11 @@ from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cmp_to_key, lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from topicloom.llm.common import dropped, released, stored
@@ -314,41 +316,61 @@ def _halves(contexts: DataFrame) -> DataFrame:
     return contexts.select("anchor", "doc_id", "digest", "pos", "once", ahead, _backwards(F.substring("raw", F.lit(1), -F.col("lo"))).alias("behind"))
 
 
-def _cut_to_shared(halves: DataFrame, side: str, tasks: int) -> DataFrame:
-    """One side of each context cut to the longest beginning that another context of its anchor has too.
+def _whole(halves: DataFrame) -> DataFrame:
+    """Contexts again, of their two halves."""
+    ends = halves.withColumn("lo", -F.length("behind")).withColumn("hi", F.length("ahead"))
+    return ends.withColumn("raw", F.concat(_backwards(F.col("behind")), "ahead")).drop("ahead", "behind")
 
-    In suffix order that is one of the two neighbours. The order is dealt out by ranges, so a task's first and last rows may
-    have theirs in other tasks; they stay whole.
+
+def _chunks(halves: DataFrame, side: str, settings: Settings, tasks: int) -> DataFrame:
+    """The contexts, with the number of their chunk: ``sorted_contexts`` of them in suffix order of one side, across
+    all tasks, so that no chunk depends on how many tasks there are."""
+    order = ["anchor", side, *({"ahead", "behind"} - {side}), "doc_id", "digest", "pos"]
+    placed = halves.repartitionByRange(tasks, *order).sortWithinPartitions(*order).withColumn("place", F.monotonically_increasing_id())
+    placed = stored(placed.withColumn("part", F.shiftright("place", 33)).withColumn("place", F.col("place").bitwiseAND((1 << 33) - 1)), "in-order")
+    sizes = sorted((r["part"], r["count"]) for r in placed.groupBy("part").count().collect())
+    firsts = list(zip([p for p, _ in sizes], accumulate((n for _, n in sizes), initial=0), strict=False))
+    met = placed.join(F.broadcast(placed.sparkSession.createDataFrame(firsts, "part long, first long")), "part")
+    return met.withColumn("chunk", F.floor((F.col("first") + F.col("place")) / settings.sorted_contexts)).drop("part", "place", "first")
+
+
+def _cut_to_chunks(chunks: DataFrame, side: str) -> DataFrame:
+    """One side of each context cut to the longest beginning that a context of its anchor in another chunk has too.
+
+    In suffix order that is the last one before the chunk or the first one after it. Anchors of one chunk are done with.
     """
-    arrow, at = _by_numpy(_HALVES), halves.columns.index(side)
+    arrow, at = _by_numpy(_HALVES), [part.split()[0] for part in _HALVES.split(", ")].index(side)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple | None = None
-        kept = 0  # bytes that the last row shares with the one before
         for batch in batches:
             out: list[tuple] = []
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                shared = len(row[at])
-                if last is not None:
-                    shared = _common(last[at], row[at]) if last[0] == row[0] else 0
-                    out.append((*last[:at], last[at][: max(kept, shared)], *last[at + 1 :]))
-                last, kept = row, shared
+            for *row, prior, following in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                row[at] = row[at][: max(_common(row[at], other) for other in (prior, following) if other is not None)]
+                out.append(tuple(row))
             yield _batch(out, arrow)
-        yield _batch([last] if last is not None else [], arrow)
 
-    order = ["anchor", side, *({"ahead", "behind"} - {side}), "doc_id", "digest", "pos"]
-    return halves.repartitionByRange(tasks, *order).sortWithinPartitions(*order).mapInArrow(run, _HALVES)
+    key = ["anchor", "chunk"]
+    ends = chunks.groupBy(key).agg(F.min(side).alias("low"), F.max(side).alias("high"))
+    order = Window.partitionBy("anchor").orderBy("chunk")
+    ends = ends.select(*key, F.lag("high").over(order).alias("prior"), F.lead("low").over(order).alias("following"))
+    ends = stored(ends.where("prior IS NOT NULL OR following IS NOT NULL"), "ends")
+    return chunks.join(ends, key).drop("chunk").mapInArrow(run, _HALVES)
 
 
-def _trimmed(many: DataFrame, settings: Settings, tasks: int) -> tuple[DataFrame, DataFrame]:
-    """(repeats, contexts that are left) of contexts in groups that one task can't sort.
+def _by_chunks(many: DataFrame, settings: Settings, tasks: int, turn: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(contexts in chunks that one task can sort, repeats, contexts that are left) of contexts in groups that it can't.
 
-    What no other context of the anchor shares on a side belongs to no repeat, so it is cut off, whatever is behind it.
-    Contexts that are equal then are repeats as they stand and can't have longer ones; one of each kind is left.
+    Two contexts of one chunk meet there. Those of different chunks share no more on that side than one of them does with
+    its chunk's surroundings, so each is cut to that: first ahead, then what is left of it behind. Contexts that are equal
+    then are repeats as they stand and can't have longer ones; one of each kind is left.
     """
-    cut = _cut_to_shared(_cut_to_shared(_halves(many), "ahead", tasks), "behind", tasks)
-    cut = cut.withColumn("lo", -F.length("behind")).withColumn("hi", F.length("ahead")).where(F.col("hi") - F.col("lo") >= settings.levels[-1])
-    cut = cut.withColumn("raw", F.concat(_backwards(F.col("behind")), "ahead")).drop("behind", "ahead")
+    rows, sorted_apart = _halves(many), []
+    for side in ("ahead", "behind"):
+        chunks = _chunks(rows, side, settings, tasks)
+        sorted_apart.append(_whole(chunks).withColumn("anchor", F.xxhash64("anchor", "chunk", F.lit(side), F.lit(turn))).drop("chunk"))
+        rows = _cut_to_chunks(chunks, side).where(F.length("ahead") + F.length("behind") >= settings.levels[-1])
+        rows = stored(rows, "cut")
+    cut = _whole(rows)
     live = stored(cut.withColumn("whole", F.sha2(F.concat(F.col("lo").cast("string").cast("binary"), F.lit(b":"), F.col("raw")), 256)), "trimmed")
     key = ["anchor", "whole"]
     kinds = stored(live.groupBy(key).agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "digest", "pos", "lo", "hi", "once", "raw")).alias("one")), "trimmed-kinds")
@@ -356,7 +378,7 @@ def _trimmed(many: DataFrame, settings: Settings, tasks: int) -> tuple[DataFrame
     equal = live.where("once = 1").join(kinds.where("n > 1").select(key), key)
     found = equal.select("doc_id", "digest", (F.col("pos") + F.col("lo")).alias("start"), (F.col("pos") + F.col("hi")).alias("stop"), level)
     left = kinds.select("anchor", "n", "one.*").withColumn("once", F.when(F.col("n") > 1, 0).otherwise(F.col("once"))).drop("n")
-    return found, left
+    return sorted_apart[0].unionByName(sorted_apart[1]), found, left
 
 
 def _blocks(contexts: DataFrame, settings: Settings) -> DataFrame:
@@ -415,13 +437,20 @@ def repeats(keyed: DataFrame, settings: Settings = Settings()) -> DataFrame:
     wanted = classes.join(several, "anchor").select("anchor", "one.*", "n", "distinct")
     rows = stored(_contexts(keyed, wanted, settings), "contexts")
     released(spark)
-    sortable, crowded = rows.where("crowded = 0"), rows.where("crowded = 1")
+    sortable, crowded = rows.where("crowded = 0").drop("crowded"), rows.where("crowded = 1").drop("crowded")
     if not crowded.isEmpty():
         small, many = _told_apart(crowded, settings)
-        sortable = sortable.unionByName(small)
-        if not many.isEmpty():
-            found, left = _trimmed(many, settings, tasks)
-            parts += [found, *_hashed_repeats(_blocks(left, settings), settings)]
+        sortable, turn, n = sortable.unionByName(small), 0, many.count()
+        while n:
+            chunks, found, left = _by_chunks(many, settings, tasks, turn)
+            parts.append(found)
+            held = stored(left.join(_counted(left.select("anchor"), "left"), "anchor"), "held")
+            small, many = (held.where(which).drop("n") for which in (F.col("n") <= settings.sorted_contexts, F.col("n") > settings.sorted_contexts))
+            sortable = sortable.unionByName(chunks).unionByName(small)
+            before, n, turn = n, many.count(), turn + 1
+            if 2 * n > before:  # too many kinds for chunks to get much further
+                parts += _hashed_repeats(_blocks(many, settings), settings)
+                break
     parts.append(_sorted_repeats(sortable, settings, tasks))
     out = parts[0]
     for part in parts[1:]:
