@@ -240,3 +240,13 @@ def test_pipeline_stages_equal_their_operators(spark, tmp_path):
     assert {r["doc_id"] for r in four.collect()} == {r["doc_id"] for r in three.collect()} - hit
     assert docs.columns == one.columns == two.columns == three.columns == four.columns
     assert {r["doc_id"] for r in pack(spark, four, sf).select("doc_id").distinct().collect()} == {r["doc_id"] for r in four.collect()}
+
+
+def test_free_memory_of_the_driver_goes_back_to_the_system(spark):
+    from topicloom.llm.common import released
+
+    assert spark.sql("select length(repeat('x', 800000000))").first()[0] == 800000000
+    released(spark)
+    runtime = spark.sparkContext._jvm.java.lang.Runtime.getRuntime()
+    total = runtime.totalMemory()
+    assert total < 2.2 * (total - runtime.freeMemory())

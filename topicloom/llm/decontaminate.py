@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from topicloom.llm.common import tidied
+
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -263,4 +265,5 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, settings: Settings = S
     for block in passages(spark, benchmark, settings):
         shared = spark.sparkContext.broadcast(build(spark, block, texts, settings))  # a block's size, not the benchmark's
         out = out.where(~_held_in(shared)(F.col("text")))
+        tidied(spark)
     return out

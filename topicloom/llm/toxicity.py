@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from topicloom.llm.common import tidied
+
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -167,6 +169,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()
 def without_toxic(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """The rows of ``docs``, all columns, that the machine does not reject."""
     machine = fit(*sample(docs, labels, settings), settings)
+    tidied(docs.sparkSession, 0)
 
     @F.pandas_udf("boolean")
     def rejected(text):
