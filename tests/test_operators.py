@@ -43,6 +43,18 @@ def table_of(spark, x):
     return spark.createDataFrame([(k, k, v.tolist()) for k, v in enumerate(x)], "note_id long, note_idx long, vector array<double>").repartition(3)
 
 
+def test_silhouette_takes_all_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    x, label = rng.normal(0, 1, (700, 6)), rng.integers(0, 4, 700)
+    x[:40] = x[0]
+    points = table_of(spark, x).join(spark.createDataFrame(list(enumerate(label.tolist())), "note_id long, cluster_id int"), "note_id")
+    monkeypatch.setattr(clustering, "CHUNK_NUMBERS", 3_000)
+    for metric in ("euclidean", "cosine"):
+        found = clustering.exact_silhouette(points, metric).first()
+        assert found["n"] == 700 and found["silhouette"] == pytest.approx(clustering.silhouette_of_all(x, label, metric), abs=1e-9)
+    assert clustering.sampled_silhouette(points).first()["n"] <= 502
+
+
 def labels_of(df):
     return [r["cluster_id"] for r in df.orderBy("note_idx").collect()]
 
