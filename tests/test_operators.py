@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from topicloom.operators import apply as applying
-from topicloom.operators import cache, clustering, fits, labels, results, tree
+from topicloom.operators import cache, clustering, fits, labels, results, tfidf, tree
 from topicloom.operators.tree import FolderFilter
 
 
@@ -55,6 +55,24 @@ def test_silhouette_takes_all_pairs(spark, monkeypatch):
     assert clustering.sampled_silhouette(points).first()["n"] <= 502
 
 
+def texts(spark):
+    rng = np.random.default_rng(3)
+    known = ["garden", "walls", "box's", "classes", "the", "stories", "reading", "km", "berries", "gas", "don’t", "<b>", "`code`", "stone.", "river,", "Été", "glass\n", "tree;"]
+    rows = [(str(k), k, " ".join(rng.choice(known, 4)), " ".join(rng.choice(known, int(rng.integers(0, 40)))) + (" filler" * 500 + " hidden words" if k % 5 == 0 else ""), None if k % 11 == 0 else k % 3) for k in range(60)]
+    return spark.createDataFrame(rows, "note_id string, note_idx long, title string, body string, cluster_id int").repartition(3)
+
+
+def test_scores_of_whole_texts(spark):
+    notes = texts(spark)
+    assigned = notes.where("cluster_id is not null").select("note_id", "cluster_id")
+    for chars in (None, 3000):
+        want = tfidf.scores(60, tfidf.note_ngrams(tfidf.corpus_ngrams(notes, chars)), assigned, 12)
+        for found in (tfidf.note_scores(notes, body_chars=chars, kept=12), tfidf.note_scores(notes, assigned, chars, 12)):
+            assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
+    held = {r["ngram"] for r in tfidf.note_scores(notes, body_chars=None, kept=1000).collect()}
+    assert {"hidden", "hidden word"} <= held and "hidden" not in {r["ngram"] for r in tfidf.note_scores(notes, kept=1000).collect()}
+
+
 def labels_of(df):
     return [r["cluster_id"] for r in df.orderBy("note_idx").collect()]
 
