@@ -73,6 +73,20 @@ def test_scores_of_whole_texts(spark):
     assert {"hidden", "hidden word"} <= held and "hidden" not in {r["ngram"] for r in tfidf.note_scores(notes, kept=1000).collect()}
 
 
+def test_full_scores_and_tags(spark, monkeypatch):
+    notes = texts(spark)
+    assigned = notes.where("cluster_id is not null").select("note_id", "cluster_id")
+    counted, corpus = (tfidf.note_ngrams(g) for g in (tfidf.corpus_ngrams(notes, None, 3), tfidf.corpus_ngrams(notes)))
+    want = tfidf.scores(60, counted, assigned, None, corpus)
+    ranked = [(r["cluster_id"], r["ngram"], pytest.approx(r["score"], rel=1e-12)) for r in want.orderBy("cluster_id", "ngram").collect()]
+    for found in (tfidf.full_scores(notes), tfidf.full_scores(notes, assigned)):
+        assert [(r["cluster_id"], r["ngram"], r["score"]) for r in found.orderBy("cluster_id", "ngram").collect()] == ranked
+    tags = sorted(map(tuple, labels.tags(want).collect()))
+    for few in (labels.FEW, 4, 1e9):
+        monkeypatch.setattr(labels, "FEW", few)
+        assert sorted(map(tuple, labels.cluster_tags(notes, assigned).collect())) == tags
+
+
 def labels_of(df):
     return [r["cluster_id"] for r in df.orderBy("note_idx").collect()]
 
