@@ -55,6 +55,14 @@ def test_silhouette_takes_all_pairs(spark, monkeypatch):
     assert clustering.sampled_silhouette(points).first()["n"] <= 502
 
 
+def test_hdbscan_of_more_points_than_a_fit_takes(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(c, 1, (60, 3)) for c in (0, 4, 9)] + [np.ones((20, 3))])
+    want = clustering.hdbscan(x, 6).tolist()
+    monkeypatch.setattr(fits, "FIT_POINTS", 40)
+    assert labels_of(fits.hdbscan(table_of(spark, x), 6)) == want
+
+
 def texts(spark):
     rng = np.random.default_rng(3)
     known = ["garden", "walls", "box's", "classes", "the", "stories", "reading", "km", "berries", "gas", "don’t", "<b>", "`code`", "stone.", "river,", "Été", "glass\n", "tree;"]
