@@ -151,6 +151,33 @@ def test_points_beyond_the_fit_get_labels_and_places(spark, monkeypatch):
     assert all(r.score > 0.9 for r in results) and {r.labels.count() for r in results} == {150}
 
 
+def test_sweep_of_points_in_hand_takes_no_rounds_over_the_table(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(700, 3)) + np.repeat(rng.normal(0, 3, (7, 3)), 100, 0)
+    points, rounds = table_of(spark, x), []
+    by_rounds = fits._round
+    monkeypatch.setattr(fits, "_round", lambda *a: rounds.append(1) or by_rounds(*a))
+    k, score, found = fits.sweep_k(points)
+    found = labels_of(found)
+    assert not rounds and found == clustering.seeded_kmeans(x, k, seed=42 + k).tolist()
+    monkeypatch.setattr(fits, "HELD_NUMBERS", 0)
+    other = fits.sweep_k(points)
+    assert rounds and other[:2] == (k, pytest.approx(score)) and labels_of(other[2]) == found
+
+
+def test_lloyd_with_ties_copies_and_empty_clusters():
+    from topicloom.functions.prng import mulberry32
+
+    rng = np.random.default_rng(4)
+    grid = np.array([(a, b) for a in range(20) for b in range(20)], float)
+    some, copies = rng.normal(size=(2_500, 8)), np.repeat(rng.normal(size=(30, 5)), 20, 0)
+    for x, k, metric in ((grid, 9, "euclidean"), (copies, 40, "euclidean"), (some, 50, "euclidean"), (some, 20, "cosine")):
+        draw = mulberry32(k)
+        centres, label = clustering.lloyd(x, clustering.seed_centres(x, k, metric, draw), metric, draw)
+        assert label.tolist() == clustering.seeded_kmeans(x, k, metric, seed=k).tolist()
+        assert clustering.nearest(x, centres, metric).tolist() == label.tolist()
+
+
 def test_topics_of_notes(spark):
     from topicloom.plans import topics
 
