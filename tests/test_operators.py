@@ -197,6 +197,28 @@ def test_topics_of_notes(spark):
         topics.run(notes.limit(2), points)
 
 
+def test_topics_are_labelled_without_a_row_per_ngram(spark, monkeypatch):
+    from topicloom.plans import topics
+
+    notes = texts(spark).drop("cluster_id")
+    points = spark.createDataFrame([(str(k), np.random.default_rng(k).normal(30 * (k % 3), 1, 3).tolist()) for k in range(50)], "note_id string, vector array<double>")
+    config = clustering.Config(metric="euclidean", dimensions=None, strategies=clustering.config_for(50).strategies)
+    made, rows = [], tfidf.note_ngrams
+    monkeypatch.setattr(tfidf, "note_ngrams", lambda g: made.append(1) or rows(g))
+    got = topics.run(notes, points, config=config)
+    found = sorted(map(tuple, got.clusters.select("strategy", "cluster_id", "size", "name", "tags").collect()))
+    assert not made and len(found) == 6
+    want = []
+    counted = tfidf.note_ngrams(tfidf.corpus_ngrams(notes.where("note_idx < 50")))
+    for strategy in ("kmeans-auto", "hdbscan"):
+        own = got.assignments.where(f"strategy = '{strategy}'")
+        scored = tfidf.scores(50, counted, own).cache()
+        named = labels.told_apart(labels.names(scored, own.select("cluster_id").distinct()), scored).join(labels.tags(scored), "cluster_id")
+        sizes = {r["cluster_id"]: r["count"] for r in own.groupBy("cluster_id").count().collect()}
+        want += [(strategy, r["cluster_id"], sizes[r["cluster_id"]], r["name"], r["tags"]) for r in named.collect()]
+    assert found == sorted(want)
+
+
 def test_labels(spark):
     rows = [(0, "machine learning", 1.0, 1), (0, "learning", 0.9, 2), (0, "neural net", 0.7, 3), (0, "learning rate", 0.4, 4), (1, "sourdough", 1.0, 1), (2, "learning", 1.0, 1), (3, "learning", 2.0, 1)]
     s = spark.createDataFrame(rows, "cluster_id int, ngram string, score double, rank int")
