@@ -390,6 +390,43 @@ def test_decontamination_needs_no_last_sentence_and_no_cosine(spark):
     assert {(x["doc_id"], x["item_id"]) for x in contaminated(docs, answers).collect()} == {(0, 1), (1, 2), (2, 0)}
 
 
+def test_decontamination_words_are_runs_of_letters_and_digits():
+    import re
+
+    from topicloom.llm.decontaminate import words
+
+    r = random.Random(13)
+    odd = "aZ9_ -.\x00\x1c\x85\xa0\u200b\u3000ıİſßΣςÉé²½ªＡ日本語१𝔸🙂—«»“”…×÷\u0301\u2028"
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x30000)]))
+    texts = [None, "", " ", "ΑΣ ΑΣΑ İx", every, every[::-1], *("".join(r.choices(odd, k=r.randint(1, 60))) for _ in range(300)), *("".join(r.choices(odd[:9] + "é—", k=40)) for _ in range(100))]
+    for text in texts:
+        assert [w.decode() if isinstance(w, bytes) else w for w in words(text)] == re.findall(r"[^\W_]+", (text or "").lower())
+
+
+def test_decontamination_searches_in_little_time(spark):
+    import re
+    import time
+
+    from topicloom.llm.common import table
+    from topicloom.llm.decontaminate import Settings, build, passages
+
+    docs = table(spark, "/root/testdata/sf0.01", "documents").select("text").cache()
+    index = build(spark, next(passages(spark, table(spark, "/root/testdata/sf0.1", "benchmark"), Settings())), docs, Settings())
+    texts = [x["text"] or "" for x in docs.collect()]
+
+    def seconds(run):
+        took = []
+        for _ in range(3):
+            began = time.thread_time()
+            for text in texts:
+                run(text)
+            took.append(time.thread_time() - began)
+        return min(took)
+
+    word = re.compile(r"[^\W_]+")
+    assert seconds(index.search) < 2.5 * seconds(lambda text: word.findall(text.lower()))  # the machine's speed cancels out
+
+
 def test_licence_scan(spark):
     from topicloom.llm.licences import TEMPLATES, licence_scan
 

@@ -1,15 +1,14 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 TF-IDF rows of the benchmark's passages, with document counts of the whole corpus, go through a distributed randomised
-SVD (Halko, Martinsson and Tropp 2011). Windows of every document are folded into that space and ranked by cosine. An
-item is a candidate wherever it shares words enough, which loses no place, and a longest common subsequence of words
-confirms it, with an answer check where the benchmark has answers.
+SVD (Halko, Martinsson and Tropp 2011). An item is a candidate wherever it shares words enough, which loses no place;
+windows of every document with a candidate are folded into that space and ranked by cosine, and a longest common
+subsequence of words confirms the item, with an answer check where the benchmark has answers.
 """
 
 from __future__ import annotations
 
 import math
-import re
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -22,7 +21,9 @@ from pyspark.sql import functions as F
 
 from topicloom.llm.common import tidied
 
-_WORD = re.compile(r"[^\W_]+")
+_ASCII = bytes(range(128))
+#: Of UTF-8 bytes: ASCII letters in lower case, other ASCII than letters and digits as spaces, the rest as it is.
+_SPLIT = bytes(k if k > 127 else ord(chr(k).lower()) if chr(k).isalnum() else 32 for k in range(256))
 
 
 @dataclass(frozen=True)
@@ -36,13 +37,24 @@ class Settings:
     common: float = 0.02  # share of documents from which on a word is common
 
 
-def words(text: str | None) -> list[str]:
-    return _WORD.findall((text or "").lower())
+def words(text: str | None) -> list[bytes]:
+    """Maximal runs of letters and digits of the lower-cased text, in UTF-8."""
+    if not text:
+        return []
+    if not text.isascii():
+        text = text.lower()
+        marks = [c for c in set(text.encode().translate(None, _ASCII).decode()) if not c.isalnum()]  # beyond ASCII
+        if len(marks) > 8:
+            text = text.translate(dict.fromkeys(map(ord, marks), " "))
+        else:
+            for mark in marks:
+                text = text.replace(mark, " ")
+    return text.encode().translate(_SPLIT).split()
 
 
-def common_subsequence(item: list[str], other: list[str]) -> int:
+def common_subsequence(item: list[bytes], other: list[bytes]) -> int:
     """Length of the longest common subsequence, by bit-parallel dynamic programming (Hyyro 2004)."""
-    at: dict[str, int] = {}
+    at: dict[bytes, int] = {}
     for k, w in enumerate(item):
         at[w] = at.get(w, 0) | 1 << k
     full = (1 << len(item)) - 1
@@ -57,8 +69,8 @@ def common_subsequence(item: list[str], other: list[str]) -> int:
 @dataclass
 class Passage:
     item_id: int
-    words: list[str]
-    answer: list[str]
+    words: list[bytes]
+    answer: list[bytes]
 
 
 def passages(spark: SparkSession, benchmark: DataFrame, settings: Settings) -> Iterator[list[Passage]]:
@@ -80,15 +92,16 @@ def passages(spark: SparkSession, benchmark: DataFrame, settings: Settings) -> I
         yield block
 
 
-def document_counts(docs: DataFrame, vocabulary: dict[str, int]) -> tuple[int, np.ndarray]:
+def document_counts(docs: DataFrame, vocabulary: dict[bytes, int]) -> tuple[int, np.ndarray]:
     """Documents, and how many hold each word of the vocabulary. Each task sums before anything moves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, counts = 0, np.zeros(len(vocabulary), np.int64)
         for batch in batches:
+            held: list[int] = []
             for text in batch.column(0).to_pylist():
-                held = vocabulary.keys() & set(words(text))
-                counts[[vocabulary[w] for w in held]] += 1
+                held.extend(set(map(vocabulary.get, words(text), repeat(-1))))
+            counts += np.bincount(np.array(held, np.int64) + 1, minlength=len(counts) + 1)[1:]
             n += batch.num_rows
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(-1, at)), pa.array(np.append(n, counts[at]))], ["term", "n"])
@@ -133,12 +146,12 @@ class Index:
     """One block's latent space and what confirming needs."""
 
     block: list[Passage]
-    vocabulary: dict[str, int]
+    vocabulary: dict[bytes, int]
     folded: np.ndarray  # term x latent dimension, weighted by idf
     items: np.ndarray  # passage x latent dimension, unit rows
     uncommon: np.ndarray  # per term
     needed: int  # uncommon words that any confirmed place holds
-    held: np.ndarray  # passage x term: how often the passage holds it
+    held: np.ndarray  # term x passage: how often the passage holds it
     settings: Settings
 
     def __post_init__(self):
@@ -148,51 +161,76 @@ class Index:
         """(item_id, cosine, share, first word) of the best confirmed place of each item in a whole text; with ``one``, of
         the first place that is confirmed alone."""
         s, w = self.settings, words(text)
-        if not w:
-            return []
-        ids = np.array(list(map(self.vocabulary.get, w, repeat(-1))), np.int64)
-        at = np.flatnonzero(ids >= 0)
-        if not len(at):
+        terms = set(map(self.vocabulary.get, w, repeat(-1))) - {-1}
+        if not terms:
             return []
+        terms = np.sort(np.fromiter(terms, np.int64, len(terms)))
         # the words of an item that a text holds at all, in whatever order, bound their common subsequence
-        alive = np.flatnonzero(self.held[:, np.unique(ids[at])].sum(1) >= self.least)
+        held = self.held.take(terms, axis=0)
+        alive = np.flatnonzero(held.sum(0) >= self.least)
         if not len(alive):
             return []
+        ids = np.fromiter(map(self.vocabulary.get, w, repeat(-1)), np.int64, len(w))
+        at = np.flatnonzero(ids >= 0)
         halves = -(-len(w) // s.half)
         rare = np.bincount(at[self.uncommon[ids[at]]] // s.half, minlength=halves + 3)
         near = rare[: halves + 1] + rare[1 : halves + 2] + rare[2 : halves + 3]  # halves k .. k+2
         ahead = np.concatenate(([0], rare[: halves]))[:halves]
         windows = np.flatnonzero(near[:halves] + ahead >= self.needed)  # a window's halves and one on either side
-        if not len(windows):
-            return []
+        cosines = None
+        best: dict[int, tuple[float, float, int]] = {}
+        for row, k in self._candidates(windows, at, np.searchsorted(terms, ids[at]), held[:, alive], self.least[alive]):
+            first = max(0, (int(windows[row]) - 1) * s.half)
+            place = slice(first, (int(windows[row]) + 3) * s.half)
+            p = int(alive[k])
+            passage = self.block[p]
+            n = common_subsequence(passage.words, w[place])
+            if n < self.least[p] or common_subsequence(passage.answer, w[place]) < s.answer_share * len(passage.answer):
+                continue
+            if cosines is None:
+                cosines = self._cosines(windows, halves, at, ids, alive)
+            hit = (n / len(passage.words), float(cosines[row, k]), -first)
+            best[passage.item_id] = max(best.get(passage.item_id, hit), hit)
+            if one:
+                return [(passage.item_id, hit[1], hit[0], -hit[2])]
+        return [(item, cosine, share, -first) for item, (share, cosine, first) in best.items()]
+
+    def _candidates(self, windows: np.ndarray, at: np.ndarray, term: np.ndarray, held: np.ndarray, least: np.ndarray, step: int = 256) -> Iterator[tuple[int, int]]:
+        """(row of ``windows``, column of ``held``) where the distinct words of a window's place, in any order, reach the
+        least share; ``term`` are the rows of ``held`` of the words at ``at``. Windows go ``step`` at a time."""
+        half = self.settings.half
+        order = np.argsort(term, kind="stable")
+        again = np.flatnonzero(np.diff(term[order]) == 0)
+        before = np.full(len(at), -1)  # where the same word was last
+        before[order[again + 1]] = at[order[again]]
+        for first in range(0, len(windows), step):
+            some = windows[first : first + step]
+            begin = np.maximum(some - 1, 0) * half
+            low, high = np.searchsorted(at, begin), np.searchsorted(at, (some + 3) * half)
+            n = high - low
+            row = np.repeat(np.arange(len(some)), n)
+            word = np.arange(len(row)) + np.repeat(low - (np.cumsum(n) - n), n)
+            new = before[word] < begin[row]
+            row, word = row[new], word[new]
+            if not len(row):
+                continue
+            starts = np.flatnonzero(np.diff(row, prepend=-1))
+            found, k = np.nonzero(np.add.reduceat(held[term[word]], starts, axis=0) >= least)
+            yield from zip((first + row[starts[found]]).tolist(), k.tolist(), strict=True)
+
+    def _cosines(self, windows: np.ndarray, halves: int, at: np.ndarray, ids: np.ndarray, alive: np.ndarray) -> np.ndarray:
+        """Of the folded windows with the items of the passages ``alive``."""
         wanted = np.zeros(halves + 2, bool)
         wanted[windows] = wanted[windows + 1] = True
-        at = at[wanted[at // s.half]]
+        at = at[wanted[at // self.settings.half]]
         sums = np.zeros((halves + 2, self.folded.shape[1]), np.float32)
-        half = at // s.half
+        half = at // self.settings.half
         starts = np.flatnonzero(np.diff(half, prepend=-1))
         if len(at):
             sums[half[starts]] = np.add.reduceat(self.folded[ids[at]], starts, axis=0)
         vectors = sums[windows] + sums[windows + 1]
         norms = np.linalg.norm(vectors, axis=1, keepdims=True)
-        cosines = (vectors / np.where(norms > 0, norms, 1)) @ self.items[alive].T
-        best: dict[int, tuple[float, float, int]] = {}
-        for row in range(len(windows)):
-            first = max(0, (int(windows[row]) - 1) * s.half)
-            place = slice(first, (int(windows[row]) + 3) * s.half)
-            terms = np.unique(ids[place])
-            bound = self.held[np.ix_(alive, terms[terms >= 0])].sum(1)  # the same of the place alone
-            for k in np.flatnonzero(bound >= self.least[alive]).tolist():
-                p = int(alive[k])
-                passage = self.block[p]
-                n = common_subsequence(passage.words, w[place])
-                if n < self.least[p] or common_subsequence(passage.answer, w[place]) < s.answer_share * len(passage.answer):
-                    continue
-                hit = (n / len(passage.words), float(cosines[row, k]), -first)
-                best[passage.item_id] = max(best.get(passage.item_id, hit), hit)
-                if one:
-                    return [(passage.item_id, hit[1], hit[0], -hit[2])]
-        return [(item, cosine, share, -first) for item, (share, cosine, first) in best.items()]
+        return (vectors / np.where(norms > 0, norms, 1)) @ self.items[alive].T
 
 
 def build(spark: SparkSession, block: list[Passage], docs: DataFrame, settings: Settings) -> Index:
@@ -208,9 +246,9 @@ def build(spark: SparkSession, block: list[Passage], docs: DataFrame, settings:
     items /= np.maximum(np.linalg.norm(items, axis=1, keepdims=True), 1e-300)
     uncommon = counts < settings.common * max(n, 1)
     needed = min(sum(bool(uncommon[vocabulary[w]]) for w in p.words) - math.floor((1 - settings.share) * len(p.words)) for p in block)
-    held = np.zeros((len(block), len(vocabulary)), np.int32)
+    held = np.zeros((len(vocabulary), len(block)), np.int32)
     for k, p in enumerate(block):
-        np.add.at(held[k], [vocabulary[w] for w in p.words], 1)
+        np.add.at(held[:, k], [vocabulary[w] for w in p.words], 1)
     return Index(block, vocabulary, (space * idf[:, None]).astype(np.float32), items.astype(np.float32), uncommon, max(needed, 0), held, settings)
 
 
